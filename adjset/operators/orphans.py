@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lattice as L
 from .current import EDGE, NODE, current_rows
-from .skew import HEAVY, SALTS
+from .skew import HEAVY, SALTS, salted_join
 
 ENDS = ("source_id", "destination_id")
 COUNTS = ("graph_id", "node", "refs", "rows", "existing", "first_ref", "arrived")
@@ -61,12 +61,11 @@ def orphan_references(edges: DataFrame, nodes: DataFrame, salts: int = SALTS, mo
     """
     refs = references(edges)
     orphans = orphaned_keys(signed_counts(reference_deltas(refs), existence_deltas(nodes)))
-    hot = orphans.orderBy(F.desc("refs"), "graph_id", "node").limit(most).select("graph_id", "node", F.lit(True).alias("hot"))
-    salted = refs.join(F.broadcast(hot), ["graph_id", "node"], "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64(*ENDS), F.lit(salts))).otherwise(F.lit(0)).cast("int")).drop("hot")
-    spread = orphans.join(F.broadcast(hot), ["graph_id", "node"], "left")
-    spread = spread.select("graph_id", "node", "rows", "existing", F.col("arrived").alias("node_arrived"), F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    hot = orphans.orderBy(F.desc("refs"), "graph_id", "node").limit(most)
+    node = orphans.select("graph_id", "node", "rows", "existing", F.col("arrived").alias("node_arrived"))
     kind = F.when(F.col("rows") <= 0, "missing").when((F.col("existing") <= 0) & ~F.col("removed"), "deleted").when(F.col("node_arrived") > F.col("arrived"), "late")
-    return salted.join(spread, ["graph_id", "node", "salt"]).select(*EDGE, "field", kind.alias("kind"), "updated_at").filter(F.col("kind").isNotNull())
+    j = salted_join(refs, node, ["graph_id", "node"], [F.col(c) for c in ENDS], hot, salts)
+    return j.select(*EDGE, "field", kind.alias("kind"), "updated_at").filter(F.col("kind").isNotNull())
 
 
 def orphans_by_month(found: DataFrame, table: str = "graph_edges") -> DataFrame:

@@ -64,3 +64,14 @@ def salted_aggregate(df: DataFrame, keys, measures: dict[str, tuple[str, str | N
             part.append(p(x).alias(name))
             merge.append(m(name).alias(name))
     return salted.groupBy(*group, "salt_").agg(*part).groupBy(*group).agg(*merge)
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys, spread: list[Column], heavy: DataFrame, salts: int = SALTS, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, whose keys are unique, with the heavy keys of ``left`` split into salts.
+
+    ``heavy`` is a bounded list as of :func:`heavy_keys`; its rows of ``right`` are repeated once per salt.
+    """
+    hot = F.broadcast(heavy.select(*keys).withColumn("heavy_", F.lit(True)))
+    copies = F.when(F.col("heavy_"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    r = right.join(hot, list(keys), "left").withColumn("salt_", F.explode(copies)).drop("heavy_")
+    return with_salt(left, keys, spread, salts, heavy=heavy).join(r, [*keys, "salt_"], how).drop("salt_")
