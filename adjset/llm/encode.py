@@ -13,6 +13,7 @@ The split follows the vocabulary's pattern, computed on arrays of character clas
 from __future__ import annotations
 
 import base64
+import functools
 import sys
 import unicodedata
 
@@ -37,6 +38,7 @@ OTHER, LETTER, NUMBER, SPACE, NONE = range(5)
 WHITE_SPACE = [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
 
+@functools.cache
 def class_runs() -> tuple[bytes, bytes]:
     """Runs of code points of one class, as lengths and classes; small enough to travel with a task."""
     space = set(WHITE_SPACE)
@@ -97,7 +99,15 @@ def _steps(data: np.ndarray, offsets: np.ndarray) -> list[int]:
     return [*cuts, end] if end > cuts[-1] else cuts
 
 
-def split(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> np.ndarray:
+def word_starts(cp: np.ndarray, first: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Where runs of letters and numbers, and the runs between them, start."""
+    word = (table[cp] == LETTER) | (table[cp] == NUMBER)
+    start = first.copy()
+    start[1:] |= word[1:] != word[:-1]
+    return start
+
+
+def split(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, starts=_starts) -> np.ndarray:
     """Byte positions at which pre-tokens start, for UTF-8 texts that lie at ``offsets`` in ``data``."""
     out = []
     cuts = _steps(data, offsets)
@@ -109,11 +119,11 @@ def split(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> np.ndarra
         docs = offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, b)] - a
         first[np.searchsorted(at, docs)] = True
         first[0] = True
-        out.append(at[_starts(cp, first, table)] + a)
+        out.append(at[starts(cp, first, table)] + a)
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and its offsets from 0; nulls are empty."""
     s = column.fill_null("").cast(pa.large_string())
     offsets = np.frombuffer(s.buffers()[1], np.int64)[s.offset : s.offset + len(s) + 1]
@@ -121,14 +131,19 @@ def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def pieces(data: np.ndarray, starts: np.ndarray) -> pa.DictionaryArray:
+    """The pieces of the data between starts, each distinct one once and their numbers in order."""
+    bounds = np.append(starts, len(data)).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
+
+
 def _numbered(runs, id_type: pa.DataType):
     """Batches of (id, text) -> word rows and text rows of blocks."""
 
     def block(name: int, ids: pa.Array, text: pa.Array, table: np.ndarray):
-        data, offsets = _texts(text)
+        data, offsets = texts_of(text)
         starts = split(data, offsets, table)
-        bounds = np.append(starts, len(data)).astype(np.int64)
-        words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
+        words = pieces(data, starts)
         numbers, n_words, n = words.indices.to_numpy(), len(words.dictionary), len(ids)
         width = 2 if n_words <= 1 << 16 else 4
         coded = numbers.astype(np.uint16 if width == 2 else np.uint32)

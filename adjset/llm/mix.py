@@ -19,6 +19,8 @@ from .encode import encode_corpus
 
 #: Bits of the order that one level of the tree takes, bits of the order, and documents that a cut is sought among.
 LEVEL_BITS, ORDER_BITS, LEAF_DOCS = 8, 56, 20_000
+#: Single documents per source that may be swapped in or out to come nearer to its quota.
+SWAPS = 8
 #: Rows that a table of targets may have, since it goes to every task.
 MOST_TARGETS = 10_000
 
@@ -116,11 +118,36 @@ def _cuts(sized: DataFrame, quota: dict[tuple, float], totals: dict[tuple, int])
     return {k: (passes[k], cut[k]) for k in quota}
 
 
+def _swaps(sized: DataFrame, cuts: dict[tuple, tuple[int, int]], quota: dict[tuple, float]) -> dict[tuple, int]:
+    """(mix, source, document) -> +1 or -1: single documents used once more or once less, so that what is missing from or
+    too much for a quota shrinks, up to SWAPS for each source. Found by one aggregation each over all documents."""
+    spark = sized.sparkSession
+    out: dict[tuple, int] = {}
+    key = ["mix_id", "source"]
+    plan = spark.createDataFrame([(*k, *cuts[k], quota[k]) for k in quota] or [], "mix_id int, source string, passes int, cut long, quota double")
+    rows = sized.join(F.broadcast(plan), key).withColumn("extra", (F.col("u") < F.col("cut")).cast("int"))
+    base = rows.groupBy(*key).agg(F.sum((F.col("passes") + F.col("extra")) * F.col("n_tokens")).alias("t")).collect()
+    off = {(r["mix_id"], r["source"]): r["t"] - quota[r["mix_id"], r["source"]] for r in base}
+    for _ in range(SWAPS):
+        todo = spark.createDataFrame([(*k, float(x)) for k, x in off.items() if abs(x) >= 1] or [], "mix_id int, source string, off double")
+        done = spark.createDataFrame([k for k in out] or [], "mix_id int, source string, doc_id long")
+        free = rows.join(F.broadcast(todo), key).filter((F.col("off") > 0) == (F.col("extra") == 1)).join(F.broadcast(done), [*key, "doc_id"], "left_anti")
+        left = F.abs(F.abs("off") - F.col("n_tokens"))
+        got = free.filter(left < F.abs("off")).groupBy(*key).agg(F.min(F.struct(left.alias("left"), "doc_id", "n_tokens")).alias("m")).collect() if off else []
+        if not got:
+            break
+        for r in got:
+            k, sign = (r["mix_id"], r["source"]), -1 if off[r["mix_id"], r["source"]] > 0 else 1
+            out[(*k, r["m"]["doc_id"])] = sign
+            off[k] += sign * r["m"]["n_tokens"]
+    return out
+
+
 def mix_sources(docs: DataFrame, targets: DataFrame, shards: int = 16, seed: int = 1, ranks_path: str | None = None) -> DataFrame:
     """mix_id, shard, place, source, doc_id, copy, n_tokens, target_share, reached_share: the mixed corpus.
 
-    One row per use of a document, ordered at random by ``place`` within its shard. Each source's tokens are as near to its
-    share of the largest possible mix as whole documents in random order come (at most half of one document away), no
+    doc_id identifies a document here. One row per use of a document, ordered at random by ``place`` within its shard. Each source's tokens are as near to its
+    share of the largest possible mix as whole documents in random order and a few swaps come, no
     document is used more than max_repeats times, and the uses of two documents of a source differ by one at most.
     reached_share is the part of all tokens that the source has. Documents of other sources, of a null source or without
     tokens aren't used; a mix none of whose sources has documents has no rows.
@@ -128,11 +155,13 @@ def mix_sources(docs: DataFrame, targets: DataFrame, shards: int = 16, seed: int
     spark = docs.sparkSession
     sized, wanted = _sized(docs, targets, seed, ranks_path)
     totals = {(r["mix_id"], r["source"]): r["t"] for r in sized.groupBy("mix_id", "source").agg(F.sum("n_tokens").alias("t")).collect()}
-    cuts = _cuts(sized, quotas(wanted, totals), totals)
+    quota = quotas(wanted, totals)
+    cuts = _cuts(sized, quota, totals)
     share = {(t["mix_id"], t["source"]): t["target_share"] for t in wanted}
     plan = spark.createDataFrame([(*k, *v, share[k]) for k, v in cuts.items()] or [], "mix_id int, source string, passes int, cut long, target_share double")
-    used = sized.join(F.broadcast(plan), ["mix_id", "source"])
-    used = used.withColumn("times", F.col("passes") + (F.col("u") < F.col("cut")).cast("int")).filter("times > 0").withColumn("block", _block(F.col("u"), 0)).drop("u", "cut", "passes")
+    swaps = spark.createDataFrame([(*k, v) for k, v in _swaps(sized, cuts, quota).items()] or [], "mix_id int, source string, doc_id long, swap int")
+    used = sized.join(F.broadcast(plan), ["mix_id", "source"]).join(F.broadcast(swaps), ["mix_id", "source", "doc_id"], "left")
+    used = used.withColumn("times", F.col("passes") + (F.col("u") < F.col("cut")).cast("int") + F.coalesce("swap", F.lit(0))).filter("times > 0").withColumn("block", _block(F.col("u"), 0)).drop("u", "cut", "passes", "swap")
     sums = used.groupBy("mix_id", "source", "block").agg(F.sum("times").alias("n"), F.sum(F.col("times") * F.col("n_tokens")).alias("t")).orderBy("mix_id", "source", "block").collect()
     bounds, mixes = [], {}
     for r in sums:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lattice as L
 from ..operators.current import EDGE, NODE, current_rows
 from ..sources.tables import table
-from . import encode, mix, overlap, topn
+from . import encode, mix, overlap, residue, topn
 
 #: Sets of problem 1: least size, and least part of shared identifiers among all of the two.
 LARGE, SHARED = 40, 0.25
@@ -49,7 +49,15 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mix.mix_shares(mix.mix_sources(table(spark, sf, "documents"), targets), targets)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_overlaps, p3_found, p7_ids, p8_mix, p8_shares)}
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return residue.residue_documents(table(spark, sf, "documents"))
+
+
+def p9_passages(spark: SparkSession, sf: str) -> DataFrame:
+    return residue.residue_passages(table(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_overlaps, p3_found, p7_ids, p8_mix, p8_shares, p9_found, p9_passages)}
 
 _NORMAL = """WITH cur AS (SELECT graph_id, source_id, destination_id, max({'r': updated_at * 8 + CASE state WHEN 0 THEN 1 WHEN 3 THEN 2 WHEN 2 THEN 3 WHEN 1 THEN 4 ELSE 0 END, 'k': position IS NOT NULL, 'p': coalesce(position, 0)}) AS m
   FROM graph_edges WHERE graph_id IS NOT NULL AND source_id IS NOT NULL AND destination_id IS NOT NULL GROUP BY ALL),
