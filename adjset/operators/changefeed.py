@@ -66,7 +66,12 @@ def _ranks_before(rows: DataFrame, heavy_ops: int, segment: int) -> DataFrame:
 def images(base: DataFrame, ops: DataFrame, heavy_ops: int = HEAVY_OPS, segment: int = SEGMENT) -> DataFrame:
     """Per edge that an operation names: the keys, rank0, pos0, known (in the base) and rank1, pos1 at the end."""
     start = current_rows(base, EDGE, ["position"]).select(*EDGE, F.col("rank").alias("rank0"), F.col("position").alias("pos0"), F.lit(True).alias("known"))
-    rows = _ranks_before(explicit_ops(ops), heavy_ops, segment).join(start, list(EDGE), "left")
+    return images_of(explicit_ops(ops), start, heavy_ops, segment)
+
+
+def images_of(rows: DataFrame, start: DataFrame, heavy_ops: int = HEAVY_OPS, segment: int = SEGMENT) -> DataFrame:
+    """:func:`images` of operation rows (edge key, seq, idx, rank, pos) and first images (edge key, rank0, pos0, known)."""
+    rows = _ranks_before(rows, heavy_ops, segment).join(start, list(EDGE), "left")
     prev = F.greatest("prev", "rank0")
     applies = prev.isNull() | (F.col("rank") >= prev)
     old = L.rank_ordinal(prev)

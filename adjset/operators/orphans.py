@@ -70,5 +70,6 @@ def orphan_references(edges: DataFrame, nodes: DataFrame, salts: int = SALTS, mo
 
 def orphans_by_month(found: DataFrame, table: str = "graph_edges") -> DataFrame:
     """table, period (yyyy-MM of the edge's updated_at, UTC), field, kind, references: the number of orphans."""
-    month = F.date_format(F.timestamp_seconds("updated_at"), "yyyy-MM")
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("updated_at") / 86400).cast("int"))
+    month = F.date_format(day, "yyyy-MM")
     return found.groupBy(F.lit(table).alias("table"), month.alias("period"), "field", "kind").agg(F.count(F.lit(1)).alias("references"))
