@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import lattice as L
+from .functions.session import written
 from .model import END, HIGH, OPS, START, Cursor, GraphError, Page
 from .operators import algebra
 from .operators.algebra import Expr, Term, from_postfix
@@ -73,8 +74,8 @@ class Graphs:
     def from_ops(cls, ops: DataFrame, graph_ids) -> Graphs:
         from .operators.fold import both_directions
 
-        e = fold_ops(ops)
-        return cls(ops.sparkSession, graph_ids, both_directions(e), node_table(e, node_timeline(mass_ops(ops))), ops)
+        e = written(fold_ops(ops))
+        return cls(ops.sparkSession, graph_ids, written(both_directions(e)), written(node_table(e, node_timeline(mass_ops(ops)))), ops)
 
     # --- checks
 

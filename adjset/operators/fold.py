@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import lattice as L
+from ..functions.session import written
 from . import changefeed
 from .current import EDGE
 
@@ -118,12 +119,13 @@ def fold_ops(ops: DataFrame) -> DataFrame:
     """
     mass = mass_ops(ops)
     timeline = node_timeline(mass)
-    rows = dominated(changefeed.explicit_ops(ops), timeline).select(*EDGE, "seq", F.col("idx").cast("long").alias("idx"), "rank", "pos")
+    # both are read several times below; written once, they are neither computed again nor lost with an executor
+    rows = written(dominated(changefeed.explicit_ops(ops), timeline).select(*EDGE, "seq", F.col("idx").cast("long").alias("idx"), "rank", "pos"))
     keys = rows.groupBy(*EDGE).agg(F.min("seq").alias("first_seq"))
-    more = expanded(mass, keys, timeline)
+    more = written(expanded(mass, keys, timeline).select(*_OP))
     touched = more.select(*EDGE).distinct()
     plain = fold_explicit(rows.join(touched, list(EDGE), "left_anti"))
-    mixed = rows.join(touched, list(EDGE), "left_semi").withColumn("mass", F.lit(False)).unionByName(more.select(*_OP).withColumn("mass", F.lit(True)))
+    mixed = rows.join(touched, list(EDGE), "left_semi").withColumn("mass", F.lit(False)).unionByName(more.withColumn("mass", F.lit(True)))
     ordered = mixed.repartition(*EDGE).sortWithinPartitions(*EDGE, "seq", "idx", "rank")
     folded = ordered.select(*EDGE, "rank", "pos", "mass").mapInPandas(_fold_sorted, "graph_id int, source_id long, destination_id long, rank1 long, pos1 long")
     return plain.unionByName(as_edges(folded))

@@ -7,13 +7,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def pages(rows: DataFrame, by: list[str], key: str, count: int, cursor: Column | int = -1, tie: str | None = None) -> DataFrame:
+def pages(rows: DataFrame, by: list[str], key: str, count: Column | int, cursor: Column | int = -1, tie: str | None = None) -> DataFrame:
     """The page of every query: the columns of ``rows`` and next_cursor, prev_cursor in wire form (0 is an end).
 
     by: columns that tell queries apart. cursor: -1 from the start, c > 0 the keys below c, -c the ``count`` keys closest
     above c, 0 nothing; a number for all queries or a column that is the same for all rows of a query. next is the last
     key of the page if any row lies below the page, prev is minus the first key if any lies above; an empty page has no
-    row. ``tie`` orders rows of equal keys, descending. Per query only count + 1 rows pass the group limit before the
+    row. count may differ between queries, too. ``tie`` orders rows of equal keys, descending. Per query only count + 1 rows pass the group limit before the
     shuffle, and one flag tells whether rows lie on the other side of the cursor. Null keys come last and only from the start.
     """
     c = F.lit(cursor).cast("long") if isinstance(cursor, int) else cursor

@@ -20,8 +20,8 @@ def parse_jobs(lines: DataFrame, column: str = "value") -> DataFrame:
     Unarchive, Archive.. RemoveAll forms carry it in the name. A line that isn't such a job has an error and no operation.
     """
     named = F.from_json(F.col(column), "map<string,string>")
-    tag = F.element_at(F.split(F.map_keys(named)[0], r"\."), -1)
-    j = lines.select(F.col(column).alias("line"), tag.alias("tag"), F.from_json(F.map_values(named)[0], FIELDS).alias("j")).select("line", "tag", "j.*")
+    tag = F.element_at(F.split(F.get(F.map_keys(named), 0), r"\."), -1)
+    j = lines.select(F.col(column).alias("line"), tag.alias("tag"), F.from_json(F.get(F.map_values(named), 0), FIELDS).alias("j")).select("line", "tag", "j.*")
     name = F.lower(F.col("tag"))
     by_name = F.when(name.startswith("add") | name.startswith("unarchive"), L.ADD).when(name.startswith("removeall") | name.startswith("remove"), L.REMOVE).when(name.startswith("archive"), L.ARCHIVE).when(name.startswith("negate"), L.NEGATE)
     by_state = F.when(F.col("state") == L.NORMAL, L.ADD).when(F.col("state") == L.REMOVED, L.REMOVE).when(F.col("state") == L.ARCHIVED, L.ARCHIVE).when(F.col("state") == L.NEGATIVE, L.NEGATE)

@@ -10,7 +10,9 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def spark():
     from pyspark.sql import SparkSession
 
-    s = (SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.default.parallelism", "4")
+    s = (SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "3").config("spark.default.parallelism", "3")
+         # many small queries: to compile code for each takes longer than to run it
+         .config("spark.sql.codegen.wholeStage", "false").config("spark.sql.codegen.factoryMode", "NO_CODEGEN")
          .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     yield s
