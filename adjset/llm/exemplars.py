@@ -29,12 +29,13 @@ FILLER = [
     "texto de exemplo", "testo di esempio", "testo segnaposto", "blindtext", "beispieltext", "voorbeeldtekst", "plaatshoudertekst", "пример текста", "текст заглушка", "образец текста", "ダミーテキスト", "サンプルテキスト", "サンプル字幕", "仮のテキスト",
 ]
 
-#: The usual filler passage. It is shuffled and repeated in use, so each of its words counts as often as a term can.
+#: The words of the usual filler passage that are words of no living language. The passage is shuffled and repeated in use, so
+#: each of them counts as often as a term can.
 LATIN = [" ".join(3 * [
-    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua",
-    "ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat",
-    "duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur",
-    "excepteur sint occaecat cupidatat non proident sunt in culpa qui officia deserunt mollit anim id est laborum",
+    "lorem ipsum dolor amet consectetur adipiscing elit eiusmod tempor incididunt labore dolore magna aliqua",
+    "enim minim veniam nostrud exercitation ullamco laboris aliquip commodo consequat",
+    "duis aute irure reprehenderit voluptate velit cillum fugiat nulla pariatur",
+    "excepteur occaecat cupidatat proident culpa officia deserunt mollit anim laborum",
 ])]
 
 VALUE = ["undefined", "undefined undefined", "null null", "null null null", "nan nan", "object object", "translation missing en cues line", "missing translation", "none none", "missing string", "missing string 404"]

@@ -21,6 +21,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.session import written
 from . import exemplars
 from .encode import class_runs, class_table, pieces, split, texts_of, word_starts
 
@@ -28,6 +29,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Part of a passage's weight that exemplars must explain, and part that a speech exemplar must explain to keep it.
 COVERAGE, SPEECH_COVERAGE = 0.75, 0.8
+#: Words that a task remembers at most.
+MOST_SEEN = 1 << 20
 #: A term counts so often at most in one passage.
 MOST_TF = 3
 #: Marks of a placeholder, a status code and a request number, as terms of their own.
@@ -49,6 +52,7 @@ _ID = re.compile(r"(?<![0-9A-Za-z])(?=[0-9a-fA-F]*[0-9])[0-9a-fA-F]{7,8}(?![0-9A
 _STATUS = re.compile(r"(?<![\d.:,])[45]\d\d(?![\d.:,])")
 _ZERO = re.compile("[\u200b-\u200d\u00ad]")
 _BESIDE = (".", ":", ",")
+_DIGIT = re.compile(r"\d")
 _NUMBER = re.compile(r"(?<![^\W_])\d+(?![^\W_])")
 _LOST = re.compile(r"\w*(?:\ufffd|\?(?=\w))\w*")
 _TAG = re.compile(r"</?[A-Za-z!][^<>\n]*>|\{[\\a-z][^{}A-Z\n]*[\\:][^{}\n]*\}")
@@ -65,8 +69,11 @@ def fold(s: str) -> str:
 
 def terms(s: str) -> list[str]:
     """Terms of a passage: folded words and marks. Numbers and words with lost characters aren't terms."""
-    s = _ID.sub(f" {ID_MARK} ", _STATUS.sub(f" {STATUS_MARK} ", _LOST.sub(" ", s)))
-    return _TERM.findall(fold(_NUMBER.sub(" ", s)))
+    if "?" in s or "\ufffd" in s:
+        s = _LOST.sub(" ", s)
+    if _DIGIT.search(s):
+        s = _NUMBER.sub(" ", _ID.sub(f" {ID_MARK} ", _STATUS.sub(f" {STATUS_MARK} ", s)))
+    return _TERM.findall(fold(s))
 
 
 def _weights(ts) -> Counter:
@@ -184,7 +191,7 @@ def _words(texts: pa.Array, table: np.ndarray):
     return d.dictionary, d.indices.to_numpy(), np.searchsorted(offsets, starts, "right") - 1
 
 
-def _chunks(b: pa.RecordBatch, size: int = 512):
+def _chunks(b: pa.RecordBatch, size: int = 1024):
     for i in range(0, b.num_rows, size):
         yield b.slice(i, size)
 
@@ -226,19 +233,28 @@ def _retrieve(index_of, known: frozenset, runs):
             for i in np.unique(np.searchsorted(offsets, hints, "right") - 1).tolist():
                 out[i] = set()
         words, codes, at = _words(c.column(1), table)
-        names = [w.decode() for w in words.to_pylist()]
-        hit = np.array([not retrieving.isdisjoint(_TERM.findall(fold(w))) or bool(_BROKEN.search(w) or _ZERO.search(w) or _ID.fullmatch(w)) for w in names], bool)
+        names = words.to_pylist()
+        if len(seen) > MOST_SEEN:
+            seen.clear()
+        for w in names:
+            if w not in seen:
+                seen[w] = kind_of(w.decode(), retrieving)
+        kinds = np.array([seen[w] for w in names], np.uint8)[codes] if names else np.zeros(0, np.uint8)
         if len(codes):
             # codes of three digits are looked for outside times, which have . : , beside their numbers
-            status = np.array([bool(_STATUS.fullmatch(w)) for w in names], bool)[codes]
-            near = np.array([w[:1] in _BESIDE for w in names], bool)[codes]
-            near_end = np.array([w[-1:] in _BESIDE for w in names], bool)[codes]
-            lone = status & ~np.append(near[1:] & (at[1:] == at[:-1]), False) & ~np.append(False, near_end[:-1] & (at[1:] == at[:-1]))
-            ok = hit[codes] | lone
+            same = at[1:] == at[:-1]
+            lone = (kinds & STATUS > 0) & ~np.append((kinds[1:] & STARTS > 0) & same, False) & ~np.append(False, (kinds[:-1] & ENDS > 0) & same)
+            ok = (kinds & HIT > 0) | lone
             for i, k in set(zip(at[ok].tolist(), codes[ok].tolist())):
-                out.setdefault(i, set()).add(names[k])
+                out.setdefault(i, set()).add(names[k].decode())
         return out
 
+    def kind_of(w: str, retrieving) -> int:
+        hit = not retrieving.isdisjoint(_TERM.findall(fold(w))) or bool(_BROKEN.search(w) or _ZERO.search(w) or _ID.fullmatch(w))
+        return HIT * hit | STATUS * bool(_STATUS.fullmatch(w)) | STARTS * (w[:1] in _BESIDE) | ENDS * (w[-1:] in _BESIDE)
+
+    HIT, STATUS, STARTS, ENDS = 1, 2, 4, 8
+    seen: dict[bytes, int] = {}  # what is known of a word, to be looked at once only
     pairs = np.zeros(1 << 16, bool)
     for x in _HINTS:
         pairs[(ord(x[0]) << 8) | np.array([ord(y) for y in (x[1] if x[1] != "a" else _LETTERS)])] = True
@@ -296,7 +312,7 @@ def residue_passages(docs: DataFrame, id_column: str = "doc_id", text_column: st
     """
     spark = docs.sparkSession
     d = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
-    counts = document_frequencies(d)
+    counts = written(document_frequencies(d))
     n = d.filter(F.length("text") > 0).count()
     vocab = vocabulary()
     own = spark.createDataFrame([(t,) for t in vocab], "term string")
