@@ -7,23 +7,25 @@ orphaned; so are keys that came to exist after a reference to them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lattice as L
+from ..functions.session import written
 from .current import EDGE, NODE, current_rows
 from .skew import HEAVY, SALTS, salted_join
 
+#: References from which on a key may be one of the heavy ones.
+HEAVY_REFS = 10_000
 ENDS = ("source_id", "destination_id")
 COUNTS = ("graph_id", "node", "refs", "rows", "existing", "first_ref", "arrived")
 
 
 def references(edges: DataFrame) -> DataFrame:
-    """Two rows per current edge: graph_id, source_id, destination_id, field, node, removed, updated_at, arrived."""
+    """Two rows per current edge: graph_id, node, other, is_source (whether node is the source), rank, arrived."""
     e = current_rows(edges, EDGE, arrival=True)
-    e = e.select(*EDGE, F.coalesce(L.rank_state("rank") == L.REMOVED, F.lit(False)).alias("removed"), L.rank_time("rank").alias("updated_at"), "arrived")
-    ends = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("node")) for c in ENDS])
-    return e.select("*", F.inline(ends))
+    ends = F.array(*[F.struct(F.col(a).alias("node"), F.col(b).alias("other"), F.lit(a == "source_id").alias("is_source")) for a, b in (ENDS, ENDS[::-1])])
+    return e.select("graph_id", F.inline(ends), "rank", "arrived")
 
 
 def reference_deltas(refs: DataFrame) -> DataFrame:
@@ -47,25 +49,38 @@ def signed_counts(*deltas: DataFrame) -> DataFrame:
     return u.groupBy("graph_id", "node").agg(F.sum("refs").alias("refs"), F.sum("rows").alias("rows"), F.sum("existing").alias("existing"), F.min("first_ref").alias("first_ref"), F.min("arrived").alias("arrived"))
 
 
+def orphaned() -> Column:
+    """Condition on signed counts: positive references to what doesn't exist, is removed, or arrived after a reference."""
+    late = F.coalesce(F.col("arrived") > F.col("first_ref"), F.lit(False))
+    return (F.col("refs") > 0) & ((F.col("existing") <= 0) | late)
+
+
 def orphaned_keys(counts: DataFrame) -> DataFrame:
-    """Keys with positive references that don't exist, are removed, or arrived after a reference."""
-    return counts.filter((F.col("refs") > 0) & ((F.col("existing") <= 0) | (F.col("arrived") > F.col("first_ref"))))
+    return counts.filter(orphaned())
 
 
-def orphan_references(edges: DataFrame, nodes: DataFrame, salts: int = SALTS, most: int = HEAVY) -> DataFrame:
+def orphan_references(edges: DataFrame, nodes: DataFrame, salts: int = SALTS, most: int = HEAVY, heavy_refs: int = HEAVY_REFS) -> DataFrame:
     """graph_id, source_id, destination_id, field, kind, updated_at: references of current edges that don't hold.
 
     kind is missing (no such node), else deleted (node Removed and the edge not), else late (the node arrives after the
     edge). Unknown arrivals are never late. Rows with null keys take no part, no nodes at all leave every reference
-    missing. The join is only with orphaned keys; the ``most`` most referenced of them, a bounded list, are salted.
+    missing. The join is only with orphaned keys; the ``most`` most referenced keys of more than
+    ``heavy_refs`` references, a bounded list, are salted if orphaned and left out of the join if not.
     """
     refs = references(edges)
-    orphans = orphaned_keys(signed_counts(reference_deltas(refs), existence_deltas(nodes)))
-    hot = orphans.orderBy(F.desc("refs"), "graph_id", "node").limit(most)
-    node = orphans.select("graph_id", "node", "rows", "existing", F.col("arrived").alias("node_arrived"))
-    kind = F.when(F.col("rows") <= 0, "missing").when((F.col("existing") <= 0) & ~F.col("removed"), "deleted").when(F.col("node_arrived") > F.col("arrived"), "late")
-    j = salted_join(refs, node, ["graph_id", "node"], [F.col(c) for c in ENDS], hot, salts)
-    return j.select(*EDGE, "field", kind.alias("kind"), "updated_at").filter(F.col("kind").isNotNull())
+    counts = signed_counts(reference_deltas(refs), existence_deltas(nodes))
+    # read three times; most keys are neither orphaned nor heavy and aren't kept
+    keys = written(counts.withColumn("orphan", orphaned()).filter(F.col("orphan") | (F.col("refs") > heavy_refs)))
+    hot = keys.filter(F.col("refs") > heavy_refs).orderBy(F.desc("refs"), "graph_id", "node").limit(most)
+    # references to a heavy node that is in order need not be moved to find that out
+    refs = refs.join(F.broadcast(hot.filter("not orphan").select("graph_id", "node")), ["graph_id", "node"], "left_anti")
+    node = keys.filter("orphan").select("graph_id", "node", "rows", "existing", F.col("arrived").alias("node_arrived"))
+    hot = hot.filter("orphan")
+    removed = F.coalesce(L.rank_state("rank") == L.REMOVED, F.lit(False))
+    kind = F.when(F.col("rows") <= 0, "missing").when((F.col("existing") <= 0) & ~removed, "deleted").when(F.col("node_arrived") > F.col("arrived"), "late")
+    j = salted_join(refs, node, ["graph_id", "node"], [F.col("other")], hot, salts).withColumn("kind", kind).filter(F.col("kind").isNotNull())
+    end = lambda here, there: F.when(F.col("is_source"), F.col(here)).otherwise(F.col(there))
+    return j.select("graph_id", end("node", "other").alias("source_id"), end("other", "node").alias("destination_id"), F.when(F.col("is_source"), ENDS[0]).otherwise(F.lit(ENDS[1])).alias("field"), "kind", L.rank_time("rank").alias("updated_at"))
 
 
 def orphans_by_month(found: DataFrame, table: str = "graph_edges") -> DataFrame:

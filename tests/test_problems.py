@@ -210,8 +210,8 @@ def test_differences_with_an_empty_copy(spark):
 # --- problem 6
 
 
-@pytest.mark.parametrize("most", [1, 256])
-def test_orphans_equal_brute_force(spark, most):
+@pytest.mark.parametrize("most, heavy_refs", [(1, 10), (256, 10), (256, 10_000)])
+def test_orphans_equal_brute_force(spark, most, heavy_refs):
     r = random.Random(6)
     data = random_edges(r, 400, 12)
     nodes = [(r.randint(1, 2), r.choice([None, *range(9)]), r.choice([0, 0, 1, 2]), 1, r.randint(0, 3), at(r.randint(1, 9)), "z") for _ in range(25)]
@@ -232,7 +232,7 @@ def test_orphans_equal_brute_force(spark, most):
             if kind:
                 want.append((*k, field, kind))
     e, n = spark.createDataFrame(data, EDGES), spark.createDataFrame(nodes, NODES)
-    found = orphans.orphan_references(e, n, salts=3, most=most)
+    found = orphans.orphan_references(e, n, salts=3, most=most, heavy_refs=heavy_refs)
     assert rows(found.drop("updated_at")) == sorted(want, key=repr)
     months = orphans.orphans_by_month(found).collect()
     assert sum(m.references for m in months) == len(want) and {m.period for m in months} == {"1970-01"}
