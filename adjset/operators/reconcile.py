@@ -32,21 +32,21 @@ EVALUATIONS = 20
 COMPARED = ("position", "updated_at", "count", "state")
 
 
-def bucket_of(n_buckets: int) -> Column:
-    """Bucket by key. A multiple of the shuffle's partitions as number of buckets makes buckets refine partitions:
-    the rows of a bucket are then already in one task after the shuffle by key."""
-    return F.pmod(F.hash(*EDGE), F.lit(n_buckets))
+def bucket_of(parts: int, per_part: int) -> Column:
+    """Bucket by key: the partition that a shuffle by key into ``parts`` puts the row in, times ``per_part``, plus a share
+    of it. Buckets refine partitions, so after that shuffle the rows of a bucket are already in one task."""
+    return F.pmod(F.hash(*EDGE), F.lit(parts)).cast("long") * per_part + F.pmod(F.xxhash64(*EDGE), F.lit(per_part))
 
 
-def _hashed(df: DataFrame, n_buckets: int) -> DataFrame:
+def _hashed(df: DataFrame, parts: int, per_part: int) -> DataFrame:
     """Current rows with bucket and row hash; a null field hashes unlike any value."""
     rows = current_rows(df, EDGE, ["position", "count"])
-    parts = [*EDGE, "rank"] + [x for f in ("position", "count") for x in (F.col(f), F.col(f).isNull())]
-    return rows.withColumns({"bucket": bucket_of(n_buckets), "h": F.xxhash64(*parts)})
+    values = [*EDGE, "rank"] + [x for f in ("position", "count") for x in (F.col(f), F.col(f).isNull())]
+    return rows.withColumns({"bucket": bucket_of(parts, per_part), "h": F.xxhash64(*values)})
 
 
-_SENT = "bucket int, side int, n long, evals binary"
-_POLYS = "bucket int, solved boolean, only_a binary, only_b binary"
+_SENT = "bucket long, side int, n long, evals binary"
+_POLYS = "bucket long, solved boolean, only_a binary, only_b binary"
 
 
 def _sketcher(side: int, zs: list[int]):
@@ -58,7 +58,7 @@ def _sketcher(side: int, zs: list[int]):
                 o = np.argsort(bucket, kind="stable")
                 ids, starts, n = np.unique(bucket[o], return_index=True, return_counts=True)
                 v = gf.products(h[o], starts, z)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(np.full(len(ids), side, np.int32)), pa.array(n.astype(np.int64)), pa.array([x.tobytes() for x in v], pa.binary())], names=["bucket", "side", "n", "evals"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.full(len(ids), side, np.int32)), pa.array(n.astype(np.int64)), pa.array([x.tobytes() for x in v], pa.binary())], names=["bucket", "side", "n", "evals"])
 
     return sketch
 
@@ -91,7 +91,7 @@ def _packed(bucket: int, ab) -> tuple:
 
 
 def _batches(rows, size: int = 4096):
-    types = [pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
+    types = [pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
     names = ["bucket", "solved", "only_a", "only_b"]
     for some in itertools.batched(rows, size):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), types)], names=names)
@@ -157,14 +157,14 @@ def _recover(batches):
 def differing_rows(a: DataFrame, b: DataFrame, n_buckets: int | None = None, evaluations: int = EVALUATIONS) -> tuple[DataFrame, DataFrame]:
     """Current rows of either copy that the other doesn't have alike: graph_id, source_id, destination_id, rank, position, count.
 
-    Buckets hold about BUCKET_ROWS rows each; their number follows from a's number of rows unless it is given.
+    Buckets hold about BUCKET_ROWS rows each; their number, rounded up to a multiple of the shuffle's partitions, follows
+    from a's number of rows unless it is given.
     """
     spark = a.sparkSession
-    if n_buckets is None:
-        parts = partitions(spark)
-        n_buckets = parts * max(1, -(-a.count() // (BUCKET_ROWS * parts)))
+    parts = partitions(spark)
+    per_part = max(1, -(-(a.count() // BUCKET_ROWS if n_buckets is None else n_buckets) // parts))
     zs = gf.points(evaluations)
-    sides = [_hashed(x, n_buckets) for x in (a, b)]
+    sides = [_hashed(x, parts, per_part) for x in (a, b)]
     sent = [x.select("bucket", "h").mapInArrow(_sketcher(i, zs), _SENT) for i, x in enumerate(sides)]
     polys = written(sent[0].unionByName(sent[1]).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_solver(zs), _POLYS))
     hard = polys.filter("not solved").select("bucket")
