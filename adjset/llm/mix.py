@@ -30,8 +30,8 @@ def _order(seed: int, *more: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *more), 64 - ORDER_BITS)
 
 
-def _block(u: Column, level: int) -> Column:
-    return F.shiftright(u, ORDER_BITS - LEVEL_BITS * (level + 1))
+def _block(u: Column, level: int, bits: int = LEVEL_BITS) -> Column:
+    return F.shiftright(u, ORDER_BITS - bits * (level + 1))
 
 
 def quotas(targets: list[dict], tokens: dict[tuple, int]) -> dict[tuple, float]:
@@ -154,14 +154,17 @@ def mix_sources(docs: DataFrame, targets: DataFrame, shards: int = 16, seed: int
     """
     spark = docs.sparkSession
     sized, wanted = _sized(docs, targets, seed, ranks_path)
-    totals = {(r["mix_id"], r["source"]): r["t"] for r in sized.groupBy("mix_id", "source").agg(F.sum("n_tokens").alias("t")).collect()}
+    own = sized.groupBy("mix_id", "source").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()
+    totals = {(r["mix_id"], r["source"]): r["t"] for r in own}
+    # blocks of a source that are shared out: the more documents, the more blocks, up to 4096
+    bits = min(12, max([LEVEL_BITS, *((r["n"] // LEAF_DOCS).bit_length() for r in own)]))
     quota = quotas(wanted, totals)
     cuts = _cuts(sized, quota, totals)
     share = {(t["mix_id"], t["source"]): t["target_share"] for t in wanted}
     plan = spark.createDataFrame([(*k, *v, share[k]) for k, v in cuts.items()] or [], "mix_id int, source string, passes int, cut long, target_share double")
     swaps = spark.createDataFrame([(*k, v) for k, v in _swaps(sized, cuts, quota).items()] or [], "mix_id int, source string, doc_id long, swap int")
     used = sized.join(F.broadcast(plan), ["mix_id", "source"]).join(F.broadcast(swaps), ["mix_id", "source", "doc_id"], "left")
-    used = used.withColumn("times", F.col("passes") + (F.col("u") < F.col("cut")).cast("int") + F.coalesce("swap", F.lit(0))).filter("times > 0").withColumn("block", _block(F.col("u"), 0)).drop("u", "cut", "passes", "swap")
+    used = used.withColumn("times", F.col("passes") + (F.col("u") < F.col("cut")).cast("int") + F.coalesce("swap", F.lit(0))).filter("times > 0").withColumn("block", _block(F.col("u"), 0, bits)).drop("u", "cut", "passes", "swap")
     sums = used.groupBy("mix_id", "source", "block").agg(F.sum("times").alias("n"), F.sum(F.col("times") * F.col("n_tokens")).alias("t")).orderBy("mix_id", "source", "block").collect()
     bounds, mixes = [], {}
     for r in sums:
@@ -173,7 +176,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame, shards: int = 16, seed: int
         for r in rs:
             of[r["source"]] = of.get(r["source"], 0) + r["t"]
         bounds += [(mix, r["source"], r["block"], np.cumsum(parts[:, i]).tolist(), of[r["source"]] / all_tokens) for i, r in enumerate(rs)]
-    # at most MOST_TARGETS * 2**LEVEL_BITS rows, whatever the corpus
+    # at most 4096 rows per target, whatever the corpus
     ranges = spark.createDataFrame(bounds, "mix_id int, source string, block long, upto array<long>, reached_share double")
     uses = used.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).withColumn("shuffled", F.xxhash64(F.lit(seed + 1), "mix_id", "doc_id", "copy"))
     w = W.partitionBy("mix_id", "source", "block").orderBy("shuffled", "doc_id", "copy")
