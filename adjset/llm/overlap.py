@@ -19,6 +19,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.session import written
 from ..operators.skew import HEAVY, SALTS, salted_join
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -98,7 +99,8 @@ def overlap_sizes(members: DataFrame, set_column: str = "source_id", id_column:
     Only sets of ``least`` identifiers or more take part; set_a < set_b. With ``share``, only pairs come out whose shared
     identifiers are at least that part of all distinct identifiers of the two. Nothing is estimated or left out.
     """
-    m = members.select("graph_id", F.col(set_column).alias("s"), F.col(id_column).alias("d")).dropna().dropDuplicates()
+    # read for the sizes, the popular identifiers and the counting: written once instead of made three times
+    m = written(members.select("graph_id", F.col(set_column).alias("s"), F.col(id_column).alias("d")).dropna().dropDuplicates())
     sizes = m.groupBy("graph_id", "s").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= least)
     heavy = sizes.orderBy(F.desc("size"), "graph_id", "s").limit(HEAVY)
     m = salted_join(m, sizes, ["graph_id", "s"], [F.col("d")], heavy, salts)
