@@ -58,6 +58,8 @@ _LOST = re.compile(r"\w*(?:\ufffd|\?(?=\w))\w*")
 _TAG = re.compile(r"</?[A-Za-z!][^<>\n]*>|\{[\\a-z][^{}A-Z\n]*[\\:][^{}\n]*\}")
 _TERM = re.compile(r"[^\W\d_]+|[\ue000-\ue002]")
 _BRACKET = re.compile(r"[\[(<]([^\[\]()<>\n]{2,80})[\])>]")
+#: What in angle brackets is a tag of markup: closing tags, attributes, elements whose names are words of exemplars.
+_MARKUP = re.compile(r"/|(?:title|caption|text|line)\s*/?$|.*\w\s*=\s*[\"']", re.I)
 _BLANK = re.compile(r"\n[^\S\n]*\n")
 _SENTENCE = re.compile(r"(?<=[.!?\u3002])\s+")
 _MOJIBAKE = re.compile("[\u00c2\u00c3\u00d0\u00d1\u00e3][\u0080-\u00bf\u0152-\u2122]")
@@ -128,7 +130,8 @@ def _windows(passage: str):
         if p and p != plain:
             yield "part", p
     for m in _BRACKET.finditer(_SYNTAX.sub(" ", passage)):
-        yield "slot", m.group(1)
+        if m.group()[0] != "<" or not _MARKUP.match(m.group(1)):
+            yield "slot", m.group(1)
 
 
 class Index:
@@ -275,11 +278,13 @@ def _retrieve(index_of, known: frozenset, runs):
                 for k, (timed, passage) in enumerate(passages(text)):
                     if len(words) <= 8 and whole and not any(w in passage for w in words) and not _HINT.search(passage):
                         continue
+                    bare = False  # the whole has no such term, and then no part of it has; slots are cut from the passage with its tags
                     for kind, window in _windows(passage):
+                        if bare and kind == "part":
+                            continue
                         ts = terms(window)
                         if retrieving.isdisjoint(ts):
-                            if kind == "whole":  # then no part has such a term either
-                                break
+                            bare = bare or kind == "whole"
                         else:
                             w = _weights(ts)
                             # keys struck at random, again and again, count neither for nor against

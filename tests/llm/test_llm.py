@@ -186,6 +186,19 @@ def test_residue_is_found_and_speech_is_kept(spark):
     assert set(range(2000, 2000 + len(KEPT))) <= left and not left & set(range(1000, 1000 + len(RESIDUE)))
 
 
+def _found(spark, cues):
+    """Which of the cues, each within speech, are found among the documents of the corpus."""
+    more = spark.createDataFrame([(5000 + i, _srt(SPOKEN[0], c, SPOKEN[3]), None, None) for i, c in enumerate(cues)], DOCS)
+    got = {r.doc_id for r in residue.residue_documents(_corpus(spark).union(more)).collect()}
+    return [c for i, c in enumerate(cues) if 5000 + i in got]
+
+
+def test_slots_in_angle_brackets(spark):
+    slots = ["<INSERT NAME HERE>", "Narrator: <INSERT NAME HERE>", "- <INSERT SUBTITLE HERE>", "<NAME DER FIGUR>", "<TODO: SPEAKER NAME>", "<i>Wait.</i> <YOUR NAME>"]
+    tags = ["<v Mary>Come here.", '<font title="insert name here">Come here.</font>', "<title>Come here.</title>", "<line>Come here."]
+    assert _found(spark, slots + tags) == slots
+
+
 def test_document_frequencies_equal_counting(spark):
     docs = _corpus(spark)
     want = Counter()
