@@ -24,6 +24,8 @@ from .current import EDGE
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _OP = [*EDGE, "seq", "idx", "rank", "pos"]
+#: Below every seq; stands for no position, too.
+_BEFORE = -(2**63)
 
 
 def fold_explicit(rows: DataFrame, heavy_ops: int = changefeed.HEAVY_OPS, segment: int = changefeed.SEGMENT) -> DataFrame:
@@ -131,6 +133,32 @@ def fold_ops(ops: DataFrame) -> DataFrame:
     return plain.unionByName(as_edges(folded))
 
 
+def fold_onto(base: DataFrame, past: DataFrame, new: DataFrame, ops: DataFrame) -> DataFrame:
+    """Operations applied to stored edges: the images (EDGE, rank1, pos1) of every edge that they name or touch.
+
+    base: one row per edge (EDGE, rank0, pos0). past and new: the mass operations (see :func:`mass_ops`) applied before and
+    those of ``ops`` that weren't. A new one meets all stored edges and those that the batch named before it. An explicit
+    operation takes the states of its nodes as of its seq, those of the past included. An edge that is new though its
+    operation is older than a mass operation of the past is met by that, too.
+    """
+    mass = past.unionByName(new)
+    timeline = node_timeline(mass)
+    rows = written(dominated(changefeed.explicit_ops(ops), timeline).select(*_OP))
+    named = rows.groupBy(*EDGE).agg(F.min("seq").alias("first_seq"))
+    fresh = named.join(base, list(EDGE), "left_anti")
+    stored = base.select(*EDGE, F.lit(_BEFORE).alias("first_seq"))
+    more = written(expanded(new, stored, timeline).unionByName(expanded(mass, fresh, timeline)).select(*_OP))
+    touched = more.select(*EDGE).distinct()
+    start = base.select(*EDGE, "rank0", "pos0", F.lit(True).alias("known"))
+    plain = changefeed.images_of(rows.join(touched, list(EDGE), "left_anti"), start).select(*EDGE, "rank1", "pos1")
+    first = base.select(*EDGE, F.lit(_BEFORE).alias("seq"), F.lit(-1).alias("idx"), F.col("rank0").alias("rank"), F.col("pos0").alias("pos"))
+    mixed = first.unionByName(rows).join(touched, list(EDGE), "left_semi").withColumn("mass", F.lit(False)).unionByName(more.withColumn("mass", F.lit(True)))
+    # a column with nulls would become floats in pandas
+    ordered = mixed.withColumn("pos", F.coalesce("pos", F.lit(_BEFORE))).repartition(*EDGE).sortWithinPartitions(*EDGE, "seq", "idx", "rank")
+    folded = ordered.select(*EDGE, "rank", "pos", "mass").mapInPandas(_fold_sorted, "graph_id int, source_id long, destination_id long, rank1 long, pos1 long")
+    return plain.unionByName(folded.withColumn("pos1", F.when(F.col("pos1") != _BEFORE, F.col("pos1"))))
+
+
 def node_table(edges: DataFrame, timeline: DataFrame | None = None) -> DataFrame:
     """Nodes of both directions: graph_id, direction, source_id, state, count, updated_at.
 

@@ -1,8 +1,11 @@
 """A stream of operations folded into a stored edge table.
 
 Every micro-batch folds its operations onto the edges as they are and writes the next version; ``seq`` orders operations
-within and across batches. Operations may come again or late: the merge by time and state is safe to repeat, and nothing
-expires, since removed edges are kept. Operations that can't be read go to a dead-letter folder.
+within and across batches. Mass operations are kept beside the edges: they meet the edges as they are, and the node states
+they lead to dominate explicit operations, those of later batches included. Operations may come again or late: the merge by
+time and state is safe to repeat, a mass operation counts once by its seq, and nothing expires, since removed edges are kept.
+An operation that comes after later ones meets stored edges as they are, with the node states as of its seq. Operations
+that can't be read go to a dead-letter folder.
 """
 
 from __future__ import annotations
@@ -12,14 +15,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import lattice as L
+from ..functions.session import written
 from ..model import OPS
-from ..operators import changefeed
+from ..operators.current import EDGE, current_rows
+from ..operators.fold import fold_onto, mass_ops, node_table, node_timeline
 
 COLUMNS = ["graph_id", "source_id", "destination_id", "state", "updated_at", "position"]
+MASS = "graph_id int, direction int, node long, seq long, rank long"
 
 
 class EdgeStore:
-    """Versions of an edge table in a folder; the newest complete one counts."""
+    """Versions of an edge table in a folder; the newest complete one counts. ``mass/v*`` holds their mass operations."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -42,19 +48,40 @@ class EdgeStore:
             return self.spark.createDataFrame([], "graph_id int, source_id long, destination_id long, state int, updated_at long, position long")
         return self.spark.read.parquet(f"{self.path}/v{v[-1] if version is None else version}")
 
-    def write(self, edges: DataFrame, version: int) -> None:
-        """A version is written whole, so a batch that runs again after a failure leaves the same table."""
+    def mass(self, version: int | None = None) -> DataFrame:
+        """All mass operations up to a version, once each; a version from before they were kept has none."""
+        v = self.versions()
+        fs, _, jvm = self._fs()
+        path = f"{self.path}/mass/v{v[-1] if v and version is None else version}"
+        if not v or not fs.exists(jvm.org.apache.hadoop.fs.Path(path)):
+            return self.spark.createDataFrame([], MASS)
+        return self.spark.read.schema(MASS).parquet(path)
+
+    def nodes(self) -> DataFrame:
+        """Nodes of both directions with their states and counts, see :func:`adjset.operators.fold.node_table`."""
+        return node_table(self.read(), node_timeline(self.mass()))
+
+    def write(self, edges: DataFrame, mass: DataFrame, version: int) -> None:
+        """A version is written whole, so a batch that runs again after a failure leaves the same table. The edges come
+        last, since it is they that make it count."""
+        mass.write.mode("overwrite").parquet(f"{self.path}/mass/v{version}")
         edges.write.mode("overwrite").parquet(f"{self.path}/v{version}")
         fs, _, jvm = self._fs()
         for old in self.versions()[:-2]:
-            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{old}"), True)
+            for at in (f"{self.path}/v{old}", f"{self.path}/mass/v{old}"):
+                fs.delete(jvm.org.apache.hadoop.fs.Path(at), True)
 
     def apply(self, ops: DataFrame, version: int) -> None:
         """Base of version v is the newest version below v, also when v is applied again."""
         before = [v for v in self.versions() if v < version]
         base = self.read(before[-1]) if before else self.read().limit(0)
-        changes = changefeed.signed_changes(base, ops)
-        self.write(changefeed.consolidated(base, changes).select(*COLUMNS), version)
+        past = self.mass(before[-1]) if before else self.spark.createDataFrame([], MASS)
+        new = written(mass_ops(ops).join(past.select("seq"), "seq", "left_anti").select(*past.columns))
+        old = current_rows(base, EDGE, ["position"]).select(*EDGE, F.col("rank").alias("rank1"), F.col("position").alias("pos1"))
+        images = fold_onto(old.withColumnsRenamed({"rank1": "rank0", "pos1": "pos0"}), past, new, ops)
+        edges = old.join(images.select(*EDGE), list(EDGE), "left_anti").unionByName(images)
+        edges = edges.select(*EDGE, L.rank_state("rank1").alias("state"), L.rank_time("rank1").alias("updated_at"), F.col("pos1").alias("position"))
+        self.write(edges.select(*COLUMNS), past.unionByName(new), version)
 
 
 def readable(ops: DataFrame):

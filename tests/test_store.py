@@ -282,3 +282,36 @@ def test_stream_equals_one_batch(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "dead")).count() == 3
     store.apply(ops_df(spark, ops[40:]), store.versions()[-1])  # the last batch again
     assert got() == edges
+
+
+def mixed_log(r, graphs, length):
+    """Logs with lists and wildcards in both directions, a graph for each; seq grows from graph to graph and within one."""
+    return [(g * 1000 + i, g, r.randint(1, 4), r.random() < 0.6, None if r.random() < 0.3 else [r.randint(1, 4) for _ in range(r.randint(1, 2))], r.randint(1, 4), r.randint(1, 999), r.randint(1, 6)) for g in range(graphs) for i in range(length)]
+
+
+def test_stream_with_mass_operations_equals_one_batch(spark, tmp_path):
+    ops = mixed_log(random.Random(31), 40, 15)
+    store = EdgeStore(spark, str(tmp_path / "edges"))
+    (tmp_path / "in").mkdir()
+    keys = ["seq", "graph_id", "source_id", "is_forward", "destination_ids", "op", "position", "execute_at"]
+    for k in range(3):
+        (tmp_path / "in" / f"{k}.json").write_text("\n".join(json.dumps(dict(zip(keys, o))) for o in ops if o[0] % 1000 // 5 == k))
+        stream_ops(read_ops(spark, str(tmp_path / "in")), store, str(tmp_path / "checkpoint"), str(tmp_path / "dead")).awaitTermination(300)
+    edges, nodes = serial(ops)
+    got = lambda: {tuple(x[:3]): [x.position, x.updated_at, x.state] for x in store.read().select("graph_id", "source_id", "destination_id", "position", "updated_at", "state").collect()}
+    states = lambda: {k: v for k, v in {(x.graph_id, x.direction, x.source_id): (x.updated_at, x.state) for x in store.nodes().collect()}.items() if k in nodes}
+    assert got() == edges
+    assert states() == nodes
+    last = store.versions()[-1]
+    store.apply(ops_df(spark, [o for o in ops if o[0] % 1000 >= 10]), last)  # the last batch again
+    assert got() == edges
+    store.apply(ops_df(spark, [o for o in ops if o[4] is None]), last + 1)  # mass operations that come again
+    assert got() == edges and states() == nodes
+
+
+def test_stream_applies_node_states_to_later_and_late_operations(spark, tmp_path):
+    store = EdgeStore(spark, str(tmp_path / "edges"))
+    store.apply(ops_df(spark, [(1, 1, 1, True, [2], ADD, 5, 10)]), 0)
+    store.apply(ops_df(spark, [(4, 1, 1, True, None, ARCHIVE, None, 20)]), 1)
+    store.apply(ops_df(spark, [(5, 1, 1, True, [3], ADD, 5, 30), (2, 1, 1, True, [4], ADD, 5, 10)]), 2)
+    assert {x.destination_id: (x.state, x.updated_at) for x in store.read().collect()} == {2: (A, 20), 3: (A, 30), 4: (A, 20)}
