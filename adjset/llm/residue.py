@@ -5,7 +5,7 @@ parts) that share a rare enough term with an exemplar are retrieved; by how much
 passage (containment) and how much of the passage's weight exemplars of one class explain (coverage), a passage is residue
 or not. The index holds the rarest terms of an exemplar, as many as it takes for no passage with enough containment to be
 missed. Speech exemplars compete: a passage that one of them explains is left alone. Document frequencies are counted over
-all documents, whole texts.
+all documents, whole texts, those of the marks of placeholders, status codes and request numbers like those of words.
 """
 
 from __future__ import annotations
@@ -29,12 +29,15 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Part of a passage's weight that exemplars must explain, and part that a speech exemplar must explain to keep it.
 COVERAGE, SPEECH_COVERAGE = 0.75, 0.8
+#: Weight that a window without a code must share with an exemplar that has one, so that no two everyday words suffice: what
+#: 0.6 of containment takes where a code is in one of 10,000 documents.
+CODELESS = 13.8
 #: Words that a task remembers at most.
 MOST_SEEN = 1 << 20
 #: A term counts so often at most in one passage.
 MOST_TF = 3
 #: Marks of a placeholder, a status code and a request number, as terms of their own.
-SLOT_MARK, STATUS_MARK, ID_MARK = "\ue000", "\ue001", "\ue002"
+MARKS = SLOT_MARK, STATUS_MARK, ID_MARK = "\ue000", "\ue001", "\ue002"
 
 # Characters that recognition confuses become one, so that damaged words still meet; zero-width characters go.
 _FROM, _TO, _DROP = "01i|\u0131c", "olllle", "\u200b\u200c\u200d\ufeff\u00ad"
@@ -49,9 +52,12 @@ _HINTS, _LETTERS = ["{{", "[[", "{%", "{!", "#{", "${", "<%", "<<", "@@", "__",
 #: Words that UTF-8 read as a one-byte encoding leaves.
 _BROKEN = re.compile("[\u00c2\u00c3\u00d0\u00d1\u00e3]")
 _ID = re.compile(r"(?<![0-9A-Za-z])(?=[0-9a-fA-F]*[0-9])[0-9a-fA-F]{7,8}(?![0-9A-Za-z])")
-_STATUS = re.compile(r"(?<![\d.:,])[45]\d\d(?![\d.:,])")
+#: A code outside times and decimal numbers; what follows or a colon before it may be punctuation.
+_STATUS = re.compile(r"(?<![\d.,])(?<!\d:)[45]\d\d(?!\d|[.:,]\d)")
+#: The same and not the number of a cue.
+_STATUS_SAID = re.compile(_STATUS.pattern + r"(?![^\S\r\n]*(?:\r\n?|\n)[^\r\n]*-->)")
 _ZERO = re.compile("[\u200b-\u200d\u00ad]")
-_BESIDE = (".", ":", ",")
+_JOINTS = (".", ":", ",")
 _DIGIT = re.compile(r"\d")
 _NUMBER = re.compile(r"(?<![^\W_])\d+(?![^\W_])")
 _LOST = re.compile(r"\w*(?:\ufffd|\?(?=\w))\w*")
@@ -138,8 +144,8 @@ class Index:
     """Exemplars with their weights, and the terms under which each is found."""
 
     def __init__(self, df: dict[str, int], n: int):
-        top = math.log(1 + n)
-        self.idf = lambda t: top if t in (SLOT_MARK, STATUS_MARK, ID_MARK) else math.log(1 + n / max(1, df.get(t, 0)))
+        self.idf = lambda t: math.log(1 + n / max(1, df.get(t, 0)))
+        self.codeless = min(CODELESS, 1.5 * math.log(1 + n))
         self.items: list[tuple[str, Counter, float]] = []
         self.found: dict[str, list[int]] = {}
         self.least = {k: v[1] for k, v in exemplars.CLASSES.items()} | {"speech": 0.5}
@@ -160,23 +166,28 @@ class Index:
         """The class that a window belongs to. other: weight of its terms that no exemplar has."""
         mass = sum(n * self.idf(t) for t, n in w.items()) + other
         classes: dict[str, list] = {}
-        speech = 0.0
+        speech = 0.0, True
         for k in {k for t in w for k in self.found.get(t, ())}:
             name, e, whole = self.items[k]
             shared = sum(min(n, e[t]) * self.idf(t) for t, n in w.items() if t in e)
             if shared < self.least[name] * whole:
                 continue
+            if name != "speech" and shared < self.codeless and any(t in e and t not in w for t in (STATUS_MARK, ID_MARK)):
+                continue
             if name == "speech":
-                speech = max(speech, shared / mass)
+                # speech without the mark of the window gives way to residue that explains more
+                speech = max(speech, (shared / mass, all(t in e for t in MARKS if t in w)))
             else:
                 union, best = classes.setdefault(name, [Counter(), 0.0])
                 classes[name] = [union | e, max(best, shared / whole)]
-        if speech >= SPEECH_COVERAGE:
+        share, marked = speech
+        explained = lambda union: sum(min(n, union[t]) * self.idf(t) for t, n in w.items()) / mass
+        if share >= SPEECH_COVERAGE and (marked or not any(explained(union) > share for union, _ in classes.values())):
             return "speech"
         if kind != "slot" and SLOT_MARK in w:
             return "placeholder"
         for name, (union, _) in classes.items():
-            if (name == "slot") == (kind == "slot") and sum(min(n, union[t]) * self.idf(t) for t, n in w.items()) >= COVERAGE * mass:
+            if (name == "slot") == (kind == "slot") and explained(union) >= COVERAGE:
                 return name
         return None
 
@@ -199,20 +210,63 @@ def _chunks(b: pa.RecordBatch, size: int = 1024):
         yield b.slice(i, size)
 
 
+#: What a word as it stands can be: one with a retrieving term, a code, a mark between numbers, with a digit at its ends.
+HIT, STATUS, JOINT, STARTS, ENDS = 1, 2, 4, 8, 16
+
+
+def _number_kind(w: str) -> int:
+    return STATUS * bool(_STATUS.fullmatch(w)) | JOINT * (w in _JOINTS) | STARTS * w[:1].isdecimal() | ENDS * w[-1:].isdecimal()
+
+
+def _lone(kinds: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Occurrences of codes of three digits that aren't parts of times or decimal numbers, which have . : , between numbers."""
+    lone = kinds & STATUS > 0
+    if len(at) > 2:
+        joint = (kinds[1:-1] & JOINT > 0) & (at[2:] == at[:-2])
+        lone[:-2] &= ~(joint & (kinds[2:] & STARTS > 0))
+        lone[2:] &= ~(joint & (kinds[:-2] & ENDS > 0))
+    return lone
+
+
+def _hinted(texts: pa.Array, pairs: np.ndarray) -> list[int]:
+    """Places of the texts with the look of a placeholder."""
+    data, offsets = texts_of(texts)
+    hints = np.flatnonzero(pairs[(data[:-1].astype(np.uint16) << 8) | data[1:]])
+    return np.unique(np.searchsorted(offsets, hints, "right") - 1).tolist()
+
+
+def _hint_pairs() -> np.ndarray:
+    pairs = np.zeros(1 << 16, bool)
+    for x in _HINTS:
+        pairs[(ord(x[0]) << 8) | np.array([ord(y) for y in (x[1] if x[1] != "a" else _LETTERS)])] = True
+    return pairs
+
+
 def _count(runs):
-    """Batches of texts -> (term, number of texts of the batch with it)."""
+    """Batches of texts -> (term, number of texts of the batch with it), marks included."""
 
     def run(batches):
-        table = class_table(runs)
+        table, hints = class_table(runs), _hint_pairs()
         for b in batches:
             df: Counter = Counter()
             for c in _chunks(b, 4096):
-                words, codes, at = _words(c.column(0), table)
+                texts = c.column(0)
+                words, codes, at = _words(texts, table)
                 pairs = np.unique(at.astype(np.int64) * max(1, len(words)) + codes)
-                for w, n in zip(words.to_pylist(), np.bincount(pairs % max(1, len(words)), minlength=len(words)).tolist()):
-                    w = fold(w.decode())
-                    for t in [w] if w.isalpha() else _TERM.findall(w):
+                kinds, ids = np.zeros(len(words), np.uint8), np.zeros(len(words), bool)
+                for i, (raw, n) in enumerate(zip(words.to_pylist(), np.bincount(pairs % max(1, len(words)), minlength=len(words)).tolist())):
+                    raw = raw.decode()
+                    w = fold(raw)
+                    if raw.isalpha() and w.isalpha():
+                        df[w] += n
+                        continue
+                    kinds[i], ids[i] = _number_kind(raw), bool(_ID.fullmatch(raw))
+                    for t in _TERM.findall(w):
                         df[t] += n
+                df[SLOT_MARK] += sum(bool(_SYNTAX.search(texts[i].as_py())) for i in _hinted(texts, hints))
+                if len(codes):
+                    df[STATUS_MARK] += sum(bool(_STATUS_SAID.search(texts[i].as_py())) for i in np.unique(at[_lone(kinds[codes], at)]).tolist())
+                    df[ID_MARK] += len(np.unique(at[ids[codes]]))
             yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64())], names=["term", "n"])
 
     return run
@@ -220,7 +274,8 @@ def _count(runs):
 
 def document_frequencies(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """term, df: number of documents that a folded word occurs in, over whole texts. Spellings that fold to one word are
-    counted apart, so a document with two of them counts twice; a word cut off by a digit counts as it stands."""
+    counted apart, so a document with two of them counts twice; a word cut off by a digit counts as it stands. Marks have
+    the number of documents with a placeholder, a code (times and cue numbers aside) or a request number."""
     return docs.select(F.col(text_column).cast("string").alias("text")).mapInArrow(_count(class_runs()), "term string, n long").groupBy("term").agg(F.sum("n").alias("df"))
 
 
@@ -229,12 +284,7 @@ def _retrieve(index_of, known: frozenset, runs):
 
     def candidates(c: pa.RecordBatch, retrieving, table):
         """Places of the texts with a retrieving word or the look of a placeholder, and these words as they stand."""
-        data, offsets = texts_of(c.column(1))
-        out: dict[int, set] = {}
-        if len(data) > 1:
-            hints = np.flatnonzero(pairs[(data[:-1].astype(np.uint16) << 8) | data[1:]])
-            for i in np.unique(np.searchsorted(offsets, hints, "right") - 1).tolist():
-                out[i] = set()
+        out: dict[int, set] = {i: set() for i in _hinted(c.column(1), pairs)}
         words, codes, at = _words(c.column(1), table)
         names = words.to_pylist()
         if len(seen) > MOST_SEEN:
@@ -244,23 +294,17 @@ def _retrieve(index_of, known: frozenset, runs):
                 seen[w] = kind_of(w.decode(), retrieving)
         kinds = np.array([seen[w] for w in names], np.uint8)[codes] if names else np.zeros(0, np.uint8)
         if len(codes):
-            # codes of three digits are looked for outside times, which have . : , beside their numbers
-            same = at[1:] == at[:-1]
-            lone = (kinds & STATUS > 0) & ~np.append((kinds[1:] & STARTS > 0) & same, False) & ~np.append(False, (kinds[:-1] & ENDS > 0) & same)
-            ok = (kinds & HIT > 0) | lone
+            ok = (kinds & HIT > 0) | _lone(kinds, at)
             for i, k in set(zip(at[ok].tolist(), codes[ok].tolist())):
                 out.setdefault(i, set()).add(names[k].decode())
         return out
 
     def kind_of(w: str, retrieving) -> int:
         hit = not retrieving.isdisjoint(_TERM.findall(fold(w))) or bool(_BROKEN.search(w) or _ZERO.search(w) or _ID.fullmatch(w))
-        return HIT * hit | STATUS * bool(_STATUS.fullmatch(w)) | STARTS * (w[:1] in _BESIDE) | ENDS * (w[-1:] in _BESIDE)
+        return HIT * hit | _number_kind(w)
 
-    HIT, STATUS, STARTS, ENDS = 1, 2, 4, 8
     seen: dict[bytes, int] = {}  # what is known of a word, to be looked at once only
-    pairs = np.zeros(1 << 16, bool)
-    for x in _HINTS:
-        pairs[(ord(x[0]) << 8) | np.array([ord(y) for y in (x[1] if x[1] != "a" else _LETTERS)])] = True
+    pairs = _hint_pairs()
 
     def run(batches):
         table, retrieving = class_table(runs), index_of().retrieving

@@ -199,6 +199,28 @@ def test_slots_in_angle_brackets(spark):
     assert _found(spark, slots + tags) == slots
 
 
+def test_codes_with_punctuation(spark):
+    errors = ["404: Not Found", "Error 404: servicio no disponible", "Fehler 403: Dienst nicht verfügbar", '{"status":404,"message":"upstream timed out"}', "503 Service Temporarily Unavailable"]
+    speech = ["Gone.", "Forbidden.", "He came at 4:04, not found by us.", "Page 404.5 of the ledger."]
+    assert _found(spark, errors + speech) == errors
+
+
+def test_verdicts_do_not_change_with_the_size_of_the_corpus():
+    words = {residue.fold(t): df for t, df in {"error": 50, "servicio": 20, "no": 900, "disponible": 10, "fehler": 10, "dienst": 10, "nicht": 200, "verfügbar": 10, "not": 2500, "found": 900}.items()}
+    marks = {residue.STATUS_MARK: 180, residue.ID_MARK: 50, residue.SLOT_MARK: 160}
+    for times in (1, 100, 3000):
+        index = residue.Index({t: df * times for t, df in (words | marks).items()}, 10_000 * times)
+        for text in ("Error 404: servicio no disponible", "Fehler 403: Dienst nicht verfügbar", "404: Not Found"):
+            assert index.verdict("whole", residue._weights(residue.terms(text)), 0.0) == "error"
+        assert index.verdict("whole", residue._weights(residue.terms("not found")), 0.0) is None
+
+
+def test_frequencies_of_marks(spark):
+    texts = [_srt("Error 404: gone"), "404 {{a}} 404", _srt("It is 5:04 now, or 404.5"), "".join(f"{i}\n00:00:00,404 --> 00:00:01,503\nNo.\n\n" for i in range(398, 405)), "ref 0a1b2c3d, 0a1b2c3d", "status:500", None]
+    got = {r.term: r.df for r in residue.document_frequencies(spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)], DOCS)).collect()}
+    assert [got[m] for m in residue.MARKS] == [1, 3, 1]
+
+
 def test_document_frequencies_equal_counting(spark):
     docs = _corpus(spark)
     want = Counter()
