@@ -1,7 +1,7 @@
 """Template residue and error-page text.
 
-Method: labelled exemplars stand in an inverted index. Passages (cues, parts without a time line, their lines and bracketed
-parts) that share a rare enough term with an exemplar are retrieved; by how much of an exemplar's TF-IDF weight lies in the
+Method: labelled exemplars stand in an inverted index. Passages (cues, parts without a time line, their lines, up to three
+neighbouring lines, and bracketed parts) that share a rare enough term with an exemplar are retrieved; by how much of an exemplar's TF-IDF weight lies in the
 passage (containment) and how much of the passage's weight exemplars of one class explain (coverage), a passage is residue
 or not. The index holds the rarest terms of an exemplar, as many as it takes for no passage with enough containment to be
 missed. Speech exemplars compete: a passage that one of them explains is left alone. Document frequencies are counted over
@@ -32,6 +32,8 @@ COVERAGE, SPEECH_COVERAGE = 0.75, 0.8
 #: Weight that a window without a code must share with an exemplar that has one, so that no two everyday words suffice: what
 #: 0.6 of containment takes where a code is in one of 10,000 documents.
 CODELESS = 13.8
+#: Neighbouring lines that are looked at together, besides the whole passage.
+MOST_LINES = 3
 #: Words that a task remembers at most.
 MOST_SEEN = 1 << 20
 #: A term counts so often at most in one passage.
@@ -132,6 +134,9 @@ def _windows(passage: str):
     plain = _TAG.sub("\n", marked)
     yield "whole", plain
     parts = {p.strip(" -–\t\"'") for line in plain.split("\n") for p in [line, *_SENTENCE.split(line)]}
+    lines = [x for x in plain.split("\n") if x.strip()]
+    # a message may be broken over lines, and stand in the passage more than once
+    parts.update("\n".join(lines[i : i + k]) for k in range(2, min(MOST_LINES, len(lines) - 1) + 1) for i in range(len(lines) - k + 1))
     for p in parts:
         if p and p != plain:
             yield "part", p

@@ -221,6 +221,13 @@ def test_frequencies_of_marks(spark):
     assert [got[m] for m in residue.MARKS] == [1, 3, 1]
 
 
+def test_messages_broken_over_lines(spark):
+    twice = ["Página\nno encontrada", "Page\nintrouvable", "Seite\nnicht gefunden", "Página\nno\nencontrada"]
+    pages = ["<html><head><title>{0}</title></head>\n<body><h1>{0}</h1><p></p></body></html>".format(x) for x in twice]
+    kept = ["Where did you put the lamp?\nOn the page.\nWhere did you put the lamp?\nOn the page."]
+    assert _found(spark, pages + kept) == pages
+
+
 def test_document_frequencies_equal_counting(spark):
     docs = _corpus(spark)
     want = Counter()
