@@ -45,9 +45,12 @@ MARKS = SLOT_MARK, STATUS_MARK, ID_MARK = "\ue000", "\ue001", "\ue002"
 _FROM, _TO, _DROP = "01i|\u0131c", "olllle", "\u200b\u200c\u200d\ufeff\u00ad"
 _FOLD = str.maketrans(dict(zip(_FROM, _TO)) | dict.fromkeys(_DROP))
 
+# The body of a placeholder ends at its closing mark, at another opening one or at a blank line. What stands in << >> at
+# length is quoted speech, so there a body has 60 characters at most.
+_IN = r"(?!\n[^\S\n]*\n)"
 _SYNTAX = re.compile(
-    r"\{\{.{1,60}?\}\}\}?|\[\[[^\[\]\n]{1,60}\]\]|\{%.{1,60}?%\}|\{![^{}\n]{1,60}!\}|[#$]\{[^{}\n]{1,60}\}|<%.{1,60}?%>|<<[^<>\n]{1,60}>>|@@[^@\n]{1,60}@@|__[A-Za-z][\w.]{0,60}?__"
-    r"|%[A-Za-z][\w.]{1,60}%|%\([\w. ]{1,60}\)[sdSD]|(?<![\d%])%[sdSD]\b|\$[A-Za-z][\w.]{1,60}\$|\{[A-Za-z]+_\w+\}|\{[A-Za-z]{4,}\}|\{\d{1,2}\}", re.S)
+    r"\{\{(?:(?!\{\{)IN.)+?\}\}\}?|\[\[(?:IN[^\[\]])+\]\]|\{%(?:(?!\{%)IN.)+?%\}|\{!(?:IN[^{}])+?!\}|[#$]\{(?:IN[^{}])+\}|<%(?:(?!<%)IN.)+?%>|<<[^<>\n]{1,60}>>|@@[^@\n]+@@|__[A-Za-z][\w.]*?__".replace("IN", _IN)
+    + r"|%[A-Za-z][\w.]+%|%\([\w. ]+\)[sdSD]|(?<![\d%])%[sdSD]\b|\$[A-Za-z][\w.]+\$|\{[A-Za-z]+_\w+\}|\{[A-Za-z]{4,}\}|\{\d{1,2}\}", re.S)
 _HINT = re.compile(r"\{\{|\[\[|\{%|\{!|#\{|\$\{|<%|<<|@@|__[A-Za-z]|%[A-Za-z(]|\$[A-Za-z]|\{[A-Za-z0-9]")
 #: Pairs of characters that a placeholder starts with; a stands for any letter.
 _HINTS, _LETTERS = ["{{", "[[", "{%", "{!", "#{", "${", "<%", "<<", "@@", "__", "%a", "%(", "$a", "{a", *[f"{{{i}" for i in range(10)]], "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -65,7 +68,7 @@ _NUMBER = re.compile(r"(?<![^\W_])\d+(?![^\W_])")
 _LOST = re.compile(r"\w*(?:\ufffd|\?(?=\w))\w*")
 _TAG = re.compile(r"</?[A-Za-z!][^<>\n]*>|\{[\\a-z][^{}A-Z\n]*[\\:][^{}\n]*\}")
 _TERM = re.compile(r"[^\W\d_]+|[\ue000-\ue002]")
-_BRACKET = re.compile(r"[\[(<]([^\[\]()<>\n]{2,80})[\])>]")
+_BRACKET = re.compile(r"[\[(<]([^\[\]()<>\n]{2,})[\])>]")
 #: What in angle brackets is a tag of markup: closing tags, attributes, elements whose names are words of exemplars.
 _MARKUP = re.compile(r"/|(?:title|caption|text|line)\s*/?$|.*\w\s*=\s*[\"']", re.I)
 _BLANK = re.compile(r"\n[^\S\n]*\n")

@@ -228,6 +228,18 @@ def test_messages_broken_over_lines(spark):
     assert _found(spark, pages + kept) == pages
 
 
+LONG = "a long text that stands for the title, " * 4
+
+
+def test_long_placeholders(spark):
+    bodies = ["{{ title | default: '%s' }}", "[[%s]]", "${title:-%s}", "<%%= title or '%s' %%>", "{%% if %s %%}", "#{%s}", "{{ title\n%s\n}}"]
+    cues = [x % LONG for x in bodies]
+    assert _found(spark, [*cues, "{{ " + LONG, "<<" + LONG + ">>"]) == cues
+    assert not residue._SYNTAX.search("{{ a\n \nb }} [[ a\n\nb ]] ${ a\n\nb }")
+    assert [k for k, x in residue._windows("[" + LONG + "]")].count("slot") == 1
+    assert not residue._SYNTAX.search("{{ a [[ b ${ c <% d {% e " * 20_000)
+
+
 def test_document_frequencies_equal_counting(spark):
     docs = _corpus(spark)
     want = Counter()
