@@ -158,11 +158,11 @@ def differing_rows(a: DataFrame, b: DataFrame, n_buckets: int | None = None, eva
     """Current rows of either copy that the other doesn't have alike: graph_id, source_id, destination_id, rank, position, count.
 
     Buckets hold about BUCKET_ROWS rows each; their number, rounded up to a multiple of the shuffle's partitions, follows
-    from a's number of rows unless it is given.
+    from the larger copy's number of rows unless it is given.
     """
     spark = a.sparkSession
     parts = partitions(spark)
-    per_part = max(1, -(-(a.count() // BUCKET_ROWS if n_buckets is None else n_buckets) // parts))
+    per_part = max(1, -(-(max(a.count(), b.count()) // BUCKET_ROWS if n_buckets is None else n_buckets) // parts))
     zs = gf.points(evaluations)
     sides = [_hashed(x, parts, per_part) for x in (a, b)]
     sent = [x.select("bucket", "h").mapInArrow(_sketcher(i, zs), _SENT) for i, x in enumerate(sides)]

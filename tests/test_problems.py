@@ -251,3 +251,21 @@ def test_signed_counts_are_kept_up_by_deltas(spark):
 def test_serial_simulator_agrees_on_counts():
     edges, _ = serial([(1, 1, 1, True, [2], 1, 5, 5), (2, 1, 1, True, None, 3, None, 6)])
     assert Counter(v[2] for v in edges.values()) == {2: 1}
+
+
+def test_buckets_follow_the_larger_copy(spark, monkeypatch):
+    from adjset.operators import reconcile
+
+    monkeypatch.setattr(reconcile, "BUCKET_ROWS", 20)
+    hashed, sizes = reconcile._hashed, []
+
+    def watched(x, parts, per_part):
+        out = hashed(x, parts, per_part)
+        sizes.extend(r["count"] for r in out.groupBy("bucket").count().collect())
+        return out
+
+    monkeypatch.setattr(reconcile, "_hashed", watched)
+    b = spark.range(1500).selectExpr("1 graph_id", "id % 7 source_id", "id destination_id", "id position", "5L updated_at", "0 count", "0 state")
+    got = reconcile.copy_differences(b.limit(0), b)
+    assert {(r.destination_id, r.field) for r in got.collect()} == {(i, "missing_in_primary") for i in range(1500)}
+    assert max(sizes) <= 60
