@@ -1,6 +1,6 @@
-"""The service's methods over edge and node tables, and a fluent way to write queries and operations.
+"""The service's methods over stored graphs, and a fluent way to write queries and operations.
 
-Single look-ups are Spark jobs; for many queries at once use the batched operators.
+Many queries at once, each of its own shape, are one job (``select2``, ``count2``).
 """
 
 from __future__ import annotations
@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import lattice as L
-from .functions.session import written
-from .model import END, HIGH, OPS, START, Cursor, GraphError, Page
+from .functions.session import new_path
+from .model import CURSOR, END, HIGH, OPS, START, Cursor, GraphError, Page
 from .operators import algebra
 from .operators.algebra import Expr, Term, from_postfix
-from .operators.fold import fold_ops, mass_ops, node_table, node_timeline
-from .operators.paging import pages, scan_after
+from .operators.paging import keyset_pages, scan_after
+from .sources.store import GraphStore
 
 
 def select(source_id=None, graph_id: int = 0, destination_id=None) -> Term:
@@ -64,18 +64,37 @@ def negate(*where, position: int | None = None) -> Change:
 
 
 class Graphs:
-    """A set of graphs: edges of both directions and nodes, from a log of operations."""
+    """A set of graphs: edges of both directions and nodes, as frames or in a store (see :mod:`adjset.sources.store`)."""
 
-    def __init__(self, spark: SparkSession, graph_ids, edges: DataFrame, nodes: DataFrame, ops: DataFrame | None = None):
-        self.spark, self.graph_ids, self.edges, self.nodes = spark, frozenset(graph_ids), edges, nodes
-        self.ops = ops
+    def __init__(self, spark: SparkSession, graph_ids, edges: DataFrame | None = None, nodes: DataFrame | None = None, store: GraphStore | None = None):
+        self.spark, self.graph_ids, self.store = spark, frozenset(graph_ids), store
+        self._edges, self._nodes = edges, nodes
 
     @classmethod
-    def from_ops(cls, ops: DataFrame, graph_ids) -> Graphs:
-        from .operators.fold import both_directions
+    def open(cls, store: GraphStore, graph_ids) -> Graphs:
+        """The newest version of a store."""
+        v = store.versions()
+        return cls(store.spark, graph_ids, store=store.pinned_at(v[-1]) if v else store)
 
-        e = written(fold_ops(ops))
-        return cls(ops.sparkSession, graph_ids, written(both_directions(e)), written(node_table(e, node_timeline(mass_ops(ops)))), ops)
+    @classmethod
+    def from_ops(cls, ops: DataFrame, graph_ids, path: str | None = None, buckets: int = 16) -> Graphs:
+        """A new store with a log of operations applied, in the shared folder unless a path is given."""
+        store = GraphStore(ops.sparkSession, path or new_path(ops.sparkSession), buckets)
+        store.apply(ops)
+        return cls.open(store, graph_ids)
+
+    @property
+    def edges(self) -> DataFrame:
+        return self._edges if self.store is None else self.store.edges()
+
+    @property
+    def nodes(self) -> DataFrame:
+        return self._nodes if self.store is None else self.store.nodes()
+
+    def _of_node(self, graph_id: int, direction: int, node: int) -> DataFrame:
+        """Edges stored under a node: of a store one partition is read."""
+        e = self._edges if self.store is None else self.store.edges(self.store.partitions(graph_id, direction, [node]))
+        return e.filter((F.col("graph_id") == graph_id) & (F.col("direction") == direction) & (F.col("source_id") == node))
 
     # --- checks
 
@@ -94,11 +113,12 @@ class Graphs:
 
     def _edge(self, s: int, g: int, d: int) -> DataFrame:
         self._known(g)
-        return self.edges.filter((F.col("graph_id") == g) & (F.col("direction") == 0) & (F.col("source_id") == s) & (F.col("destination_id") == d)).drop("direction")
+        return self._of_node(g, 0, s).filter(F.col("destination_id") == d).drop("direction", "bucket")
 
     def _node(self, s: int, g: int) -> DataFrame:
         self._known(g)
-        return self.nodes.filter((F.col("graph_id") == g) & (F.col("direction") == 0) & (F.col("source_id") == s)).drop("direction")
+        nodes = self._nodes if self.store is None else self.store.nodes(self.store.partitions(g, 0, [s]))
+        return nodes.filter((F.col("graph_id") == g) & (F.col("direction") == 0) & (F.col("source_id") == s)).drop("direction")
 
     def contains(self, s: int, g: int, d: int) -> bool:
         """Whether the edge is there, Normal or Negative."""
@@ -123,22 +143,35 @@ class Graphs:
     # --- pages
 
     def select2(self, queries) -> list[Page]:
-        """Pages of (expression or program, count, cursor). A single wildcard pages by position, all else by id."""
-        return [self._page(self._checked(e), n, c) for e, n, c in queries]
+        """Pages of (expression or program, count, cursor), all in one job. A single wildcard pages by position, all else by id."""
+        asked = [(self._checked(e), n, c) for e, n, c in queries]
+        if not asked:
+            return []
+        terms, programs, most = [], [], 1
+        for q, (e, n, c) in enumerate(asked):
+            codes, own = algebra.program_of(e)
+            terms += [(q, i, t) for i, t in enumerate(own)]
+            most = max(most, len(own))
+            programs.append((q, codes, isinstance(e, Term) and e.destination_ids is None, n, (c.kind, c.key, c.tie)))
+        p = self.spark.createDataFrame(programs, f"query_id int, program array<int>, simple boolean, n int, c {CURSOR}")
+        leaves = algebra.neighbours(self._stored_for(t for *_, t in terms), algebra.terms_frame(self.spark, terms))
+        rows = algebra.evaluate_programs(leaves, p, most).join(p.drop("program"), "query_id")
+        rows = rows.withColumn("k", F.when(F.col("simple"), F.col("position")).otherwise(F.col("destination_id")))
+        pages: dict[int, list] = {}
+        for r in keyset_pages(rows, ["query_id"], "k", F.col("n"), F.col("c"), "destination_id").select("query_id", "k", "destination_id", "next", "prev").collect():
+            pages.setdefault(r["query_id"], []).append(r)
+        return [_page(pages.get(q, []))[0] for q in range(len(asked))]
+
+    def _stored_for(self, terms) -> DataFrame:
+        """The edges, of a store those partitions that hold the terms' nodes."""
+        if self.store is None:
+            return self._edges
+        m = self.store.manifest()
+        return self.store.edges({k for t in terms for k in self.store.partitions(t.graph_id, 0 if t.is_forward else 1, [t.source_id], m)})
 
     def select(self, e, count: int, cursor: Cursor = START) -> Page:
         return self.select2([(e, count, cursor)])[0]
 
-    def _page(self, e: Expr, count: int, cursor: Cursor, full: bool = False) -> Page:
-        simple = isinstance(e, Term) and e.destination_ids is None
-        key = "position" if simple else "destination_id"
-        rows = algebra.leaf(self.edges, e) if isinstance(e, Term) else algebra.evaluate(self.edges, e)
-        if cursor == END:
-            return Page([], END, END)
-        r = rows.withColumn("q", F.lit(0)).withColumn("key_", F.col(key))
-        got = pages(r, ["q"], "key_", count, cursor.wire, None if key == "destination_id" else "destination_id").orderBy(F.desc("key_"), F.desc("destination_id")).collect()
-        return Page([x["destination_id"] for x in got], Cursor.of(got[0]["next_cursor"]), Cursor.of(got[0]["prev_cursor"])) if got else Page([], END, END)
-
     def paginate(self, e, count: int):
         """All pages, one after another."""
         c = START
@@ -151,12 +184,12 @@ class Graphs:
         """Full edges of one term: by position, or by id if ids are named."""
         self._known(t.graph_id)
         key = "position" if t.destination_ids is None else "destination_id"
-        rows = self.edges.join(algebra.leaf(self.edges, t).select("destination_id"), "destination_id", "left_semi")
-        rows = rows.filter((F.col("graph_id") == t.graph_id) & (F.col("direction") == (0 if t.is_forward else 1)) & (F.col("source_id") == t.source_id) & F.col("state").isin(*t.states))
-        got = pages(rows.withColumn("q", F.lit(0)).withColumn("key_", F.col(key)), ["q"], "key_", count, cursor.wire, "destination_id").orderBy(F.desc("key_"), F.desc("destination_id")).collect()
-        if not got:
-            return [], END, END
-        return [r.asDict() for r in got], Cursor.of(got[0]["next_cursor"]), Cursor.of(got[0]["prev_cursor"])
+        rows = self._of_node(t.graph_id, 0 if t.is_forward else 1, t.source_id).filter(F.col("state").isin(*t.states))
+        if t.destination_ids is not None:
+            rows = rows.filter(F.col("destination_id").isin(*t.destination_ids)) if t.destination_ids else rows.filter(F.lit(False))
+        got = keyset_pages(rows.withColumn("k", F.col(key)), ["graph_id"], "k", count, cursor, "destination_id").collect()
+        page, got = _page(got)
+        return [{k: v for k, v in r.asDict().items() if k not in ("k", "bucket", "next", "prev")} for r in got], page.next, page.prev
 
     def scan(self, after: tuple | None, count: int, graph_id: int, direction: int = 0):
         """Edges of a graph in order of (source, destination), after a composite key, and the key to go on from."""
@@ -171,34 +204,69 @@ class Graphs:
     def node_count(self, t: Term) -> int:
         """The node's count if its state is asked for, else 0."""
         self._known(t.graph_id)
-        n = self.nodes.filter((F.col("graph_id") == t.graph_id) & (F.col("direction") == (0 if t.is_forward else 1)) & (F.col("source_id") == t.source_id) & F.col("state").isin(*t.states)).head()
-        return n["count"] if n else 0
+        return self._node_counts([t])[t]
+
+    def _node_counts(self, terms: list[Term]) -> dict[Term, int]:
+        """Node counts of many terms in one job."""
+        out = dict.fromkeys(terms, 0)
+        if not out:
+            return out
+        asked = self.spark.createDataFrame([(i, t.graph_id, 0 if t.is_forward else 1, t.source_id) for i, t in enumerate(out)], "i int, graph_id int, direction int, source_id long")
+        nodes = self._nodes
+        if self.store is not None:
+            m = self.store.manifest()
+            nodes = self.store.nodes({k for t in out for k in self.store.partitions(t.graph_id, 0 if t.is_forward else 1, [t.source_id], m)})
+        order = list(out)
+        for r in nodes.join(asked, ["graph_id", "direction", "source_id"]).select("i", "state", "count").collect():
+            if r["state"] in order[r["i"]].states:
+                out[order[r["i"]]] = r["count"]
+        return out
 
     def count2(self, queries) -> list[int]:
-        """Sizes, estimated for compound expressions."""
-        return [algebra.size_estimate(self._checked(e), self.node_count) for e in queries]
+        """Sizes, estimated for compound expressions; all node counts they take come from one job."""
+        asked = [self._checked(e) for e in queries]
+        leaves = [t for e in asked for kind, t in algebra.to_postfix(e) if kind == "term" and t.destination_ids is None]
+        sizes = self._node_counts(list(dict.fromkeys(leaves)))
+        return [algebra.size_estimate(e, sizes.__getitem__) for e in asked]
 
     def count(self, e) -> int:
         return self.count2([e])[0]
 
     def exact_count(self, e) -> int:
-        return algebra.evaluate(self.edges, self._checked(e)).count()
+        e = self._checked(e)
+        return algebra.evaluate(self._stored_for(t for kind, t in algebra.to_postfix(e) if kind == "term"), e).count()
 
     # --- writing
 
     def execute(self, *changes: Change, priority: int = HIGH, now: int | None = None) -> Graphs:
-        """A new set of graphs with the changes applied in order. Nothing to do and unknown graphs or operations are errors."""
+        """The graphs with the changes applied in order. Nothing to do and unknown graphs or operations are errors.
+
+        Only partitions that the changes touch are read and written. The former version can still be read until
+        the store has dropped it (see :data:`adjset.sources.store.KEPT_VERSIONS`).
+        """
         if not changes:
             raise GraphError("nothing to execute")
         now = int(time.time()) if now is None else now
-        start = (self.ops.agg(F.max("seq")).head()[0] or 0) + 1 if self.ops is not None else 1
-        rows = []
-        for i, c in enumerate(changes):
+        for c in changes:
             self._known(c.term.graph_id)
             if c.op not in L.STATE_OF_OP:
                 raise GraphError(f"unknown operation {c.op}")
+        store = GraphStore(self.spark, self.store.path) if self.store is not None else GraphStore(self.spark, new_path(self.spark))
+        if self.store is None:
+            store.write_nodes(self._nodes)
+            store.write_copies(self._edges.filter("direction = 0"))
+        start = store.manifest()["seq"] + 1
+        rows = []
+        for i, c in enumerate(changes):
             t = c.term
             at = now if c.execute_at is None else c.execute_at
             rows.append((start + i, t.graph_id, t.source_id, t.is_forward, None if t.destination_ids is None else list(t.destination_ids), c.op, at * 1000 << 20 if c.position is None else c.position, at, priority, None))
-        new = self.spark.createDataFrame(rows, OPS)
-        return Graphs.from_ops(new if self.ops is None else self.ops.unionByName(new), self.graph_ids)
+        store.apply(self.spark.createDataFrame(rows, OPS))
+        return Graphs.open(store, self.graph_ids)
+
+
+def _page(rows: list) -> tuple[Page, list]:
+    """The page that rows of keyset_pages are, highest key first, and these rows in order."""
+    rows = sorted(rows, key=lambda r: (r["k"] is not None, r["k"] or 0, r["destination_id"]), reverse=True)
+    cursor = lambda x: END if x["kind"] == "end" else Cursor(x["kind"], x["key"], x["tie"])
+    return (Page([r["destination_id"] for r in rows], cursor(rows[0]["next"]), cursor(rows[0]["prev"])) if rows else Page([], END, END)), rows

@@ -12,9 +12,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a local temporary folder only where that is unset (tests)."""
+    """``spark.checkpoint.dir`` of the session; where that is unset a temporary folder of this machine, if Spark runs in one
+    process on it (tests). On a cluster an unset folder is an error, since each machine would write to a disk of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="adjset-"))
     path = f"{base.rstrip('/')}/adjset-{spark.sparkContext.applicationId}"
     if path not in _own:
@@ -36,14 +39,32 @@ def new_path(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
-    """``df`` written to the shared folder and read again: computed once, and safe when executors are lost."""
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: computed once, and safe when executors are lost. The table stays
+    until the driver ends or :func:`clear` is called."""
     path = new_path(df.sparkSession)
-    w = df.write.option("compression", "zstd")
-    (w.partitionBy(partition_by) if partition_by else w).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
+    """Like :func:`written`, stored by the hash of ``column`` in as many files as ``buckets``: joins and aggregations by that
+    column read each file in one task, without a shuffle."""
+    spark = df.sparkSession
+    path = new_path(spark)
+    name = "adjset_" + path.rsplit("/", 1)[1]
+    df.repartition(buckets, column).write.bucketBy(buckets, column).sortBy(column).option("path", path).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all intermediate tables made so far: for long sessions, when no result made of them is still to be read."""
+    for t in spark.catalog.listTables():
+        if t.name.startswith("adjset_"):
+            spark.sql(f"DROP TABLE IF EXISTS {t.name}")
+    _remove(spark, shared_dir(spark))
+
+
 def partitions(spark: SparkSession) -> int:
     """Partitions that a shuffle starts with."""
     n = spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)

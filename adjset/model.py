@@ -8,6 +8,8 @@ EDGES = "graph_id int, source_id long, destination_id long, position long, updat
 NODES = "graph_id int, direction int, source_id long, state int, count long, updated_at long"
 OPS = "seq long, graph_id int, source_id long, is_forward boolean, destination_ids array<long>, op int, position long, execute_at long, priority int, queued_at timestamp"
 
+CURSOR = "struct<kind: string, key: bigint, tie: bigint>"
+
 FORWARD, BACKWARD = 0, 1
 LOW, MEDIUM, HIGH = 1, 2, 3
 
@@ -18,13 +20,17 @@ class GraphError(ValueError):
 
 @dataclass(frozen=True)
 class Cursor:
-    """Where a page begins: at the start, below a key (forward) or above it (backward). None as key is an end.
+    """Where a page begins: at the start, below a key (forward) or above it (backward).
 
-    Keys of any value are told apart from start and end, which the wire form (-1, 0, key, -key) can't do for 0 and 1.
+    ``tie`` is the destination of the row that the key comes from: rows of equal keys are told apart by it, so none is
+    lost between two pages, and a null key, which is below all others, can be gone on from, too. Kinds keep start and end
+    apart from the keys 0 and 1, which the wire form (-1, 0, key, -key) can't do. A cursor from the wire has no tie: it
+    stands below (above) all rows of its key.
     """
 
     kind: str
     key: int | None = None
+    tie: int | None = None
 
     @classmethod
     def of(cls, wire: int) -> Cursor:
@@ -39,7 +45,7 @@ class Cursor:
         return {"start": -1, "end": 0, "forward": self.key, "backward": -(self.key or 0)}[self.kind]
 
     def reversed(self) -> Cursor:
-        return {"forward": Cursor("backward", self.key), "backward": Cursor("forward", self.key)}.get(self.kind, self)
+        return {"forward": Cursor("backward", self.key, self.tie), "backward": Cursor("forward", self.key, self.tie)}.get(self.kind, self)
 
 
 START, END = Cursor("start"), Cursor("end")

@@ -124,10 +124,22 @@ def combined(left: DataFrame, right: DataFrame, kind: str, on: list[str]) -> Dat
 def neighbours(edges: DataFrame, terms: DataFrame) -> DataFrame:
     """Many terms in one job: terms(query_id, leaf_no, graph_id, source_id, is_forward, destination_ids, states) to
     (query_id, leaf_no, destination_id, position). null destination_ids is a wildcard, null states is Normal."""
+    return matches(edges, terms).select("query_id", "leaf_no", "destination_id", "position")
+
+
+def matches(edges: DataFrame, terms: DataFrame) -> DataFrame:
+    """Full edges of many terms: the columns of edges and query_id, leaf_no. Edges stored in buckets by source (a column
+    ``bucket``, see :mod:`adjset.sources.store`) are read only where a term has its source."""
     t = terms.withColumn("direction", F.when(F.coalesce("is_forward", F.lit(True)), 0).otherwise(1)).drop("is_forward")
-    j = edges.select("graph_id", "direction", "source_id", "destination_id", "position", "state").join(t, ["graph_id", "direction", "source_id"])
+    on = ["graph_id", "direction", "source_id"]
+    if "bucket" in edges.columns:
+        from ..sources.store import bucket_column
+
+        n = edges.schema["bucket"].metadata["buckets"]
+        t, on = t.withColumn("bucket", bucket_column("source_id", n)), ["graph_id", "direction", "bucket", "source_id"]
+    j = edges.join(t, on)
     named = F.col("destination_ids").isNull() | F.array_contains("destination_ids", F.col("destination_id"))
-    return j.filter(named & F.array_contains(F.coalesce("states", F.array(F.lit(L.NORMAL))), F.col("state"))).select("query_id", "leaf_no", "destination_id", "position")
+    return j.filter(named & F.array_contains(F.coalesce("states", F.array(F.lit(L.NORMAL))), F.col("state"))).select("query_id", "leaf_no", *edges.columns)
 
 
 def evaluate_batch(leaves: DataFrame, shape: Expr | list, on=("query_id", "destination_id")) -> DataFrame:
@@ -146,6 +158,51 @@ def evaluate_batch(leaves: DataFrame, shape: Expr | list, on=("query_id", "desti
     return stack[0]
 
 
+#: Leaves whose membership fits in one long.
+_WORD = 63
+_CODES = {"intersection": -1, "union": -2, "difference": -3}
+
+
+def program_of(e: Expr, first: int = 0) -> tuple[list[int], list[Term]]:
+    """An expression as codes of a stack machine, leaf numbers from ``first`` and -1 to -3 for the operations, and its
+    terms in the order of their numbers."""
+    codes, terms = [], []
+    for kind, t in to_postfix(e):
+        codes.append(first + len(terms) if kind == "term" else _CODES[kind])
+        if kind == "term":
+            terms.append(t)
+    return codes, terms
+
+
+def evaluate_programs(leaves: DataFrame, programs: DataFrame, most_leaves: int) -> DataFrame:
+    """Every query by its own program, all in one job: query_id, destination_id, position (the greatest of the leaves).
+
+    leaves: see :func:`neighbours`. programs: query_id and ``program``, an array of codes (see :func:`program_of`).
+    most_leaves: the greatest number of leaves of a query. The leaves that an id is in become bits, one aggregation per
+    query and id, combined before its shuffle; a program then works on these bits. A query's own large sets are spread by
+    id. An id with a null and a query without program take no part.
+    """
+    words = [F.coalesce(F.bit_or(F.expr(f"CASE WHEN leaf_no >= {w} AND leaf_no < {w + _WORD} THEN shiftleft(1L, leaf_no - {w}) END")), F.lit(0).cast("long")).alias(f"w{w // _WORD}_") for w in range(0, max(1, most_leaves), _WORD)]
+    got = leaves.groupBy("query_id", "destination_id").agg(*words, F.max("position").alias("position")).join(programs.select("query_id", "program"), "query_id")
+    bits = F.array(*[F.col(f"w{i}_") for i in range(len(words))])
+
+    def step(stack: Column, code: Column) -> Column:
+        n = F.size(stack)
+        a, b = F.get(stack, n - 2), F.get(stack, n - 1)
+        value = F.when(code == -1, a & b).when(code == -2, a | b).otherwise(a & ~b)
+        leaf = F.getbit(F.get(bits, F.floor(code / _WORD).cast("int")), F.pmod(code, F.lit(_WORD))) == 1
+        return F.when(code >= 0, F.concat(stack, F.array(leaf))).otherwise(F.concat(F.slice(stack, F.lit(1), F.greatest(n - 2, F.lit(0))), F.array(value)))
+
+    inside = F.get(F.aggregate("program", F.array().cast("array<boolean>"), step), F.lit(0))
+    return got.filter(inside).select("query_id", "destination_id", "position")
+
+
+def terms_frame(spark, terms: list[tuple[int, int, Term]]) -> DataFrame:
+    """(query, leaf number, term) as the rows that :func:`neighbours` takes."""
+    rows = [(q, i, t.graph_id, t.source_id, t.is_forward, None if t.destination_ids is None else list(t.destination_ids), list(t.states)) for q, i, t in terms]
+    return spark.createDataFrame(rows, "query_id int, leaf_no int, graph_id int, source_id long, is_forward boolean, destination_ids array<long>, states array<int>")
+
+
 def size_estimate(e: Expr, leaf_size) -> int:
     """leaf_size(term) for leaves; intersection int(min * 0.1), union max, difference left."""
     if isinstance(e, Term):

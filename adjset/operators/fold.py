@@ -2,15 +2,18 @@
 
 Operations apply one after another in order of ``seq``. Node states come from mass operations alone, so they are worked
 out first; an explicit operation takes the greatest of its own state and the states of both its nodes as of its seq.
-Edges that no mass operation touches have a closed form (see :mod:`changefeed`). The others are folded row by row over a
-sorted partition, without gathering the operations of an edge.
+Edges that no mass operation touches have a closed form (see :mod:`changefeed`). The others are folded over a sorted
+partition, all edges of a batch at once, without gathering the operations of an edge. Nodes that many operations or edges
+name are salted where these meet the states and mass operations of nodes.
 """
 
 from __future__ import annotations
 
 import sys
+from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -20,6 +23,7 @@ from ..functions import lattice as L
 from ..functions.session import written
 from . import changefeed
 from .current import EDGE
+from .skew import hot_keys, salted_join
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -46,10 +50,12 @@ def both_directions(edges: DataFrame) -> DataFrame:
 
 
 def mass_ops(ops: DataFrame) -> DataFrame:
-    """Wildcards: graph_id, direction, node, seq, rank."""
+    """Wildcards: graph_id, direction, node, seq, rank. Of rows delivered again under one seq the one queued first counts,
+    and of those the least by the other columns."""
     w = ops.filter(F.col("destination_ids").isNull() & F.col("seq").isNotNull() & F.col("source_id").isNotNull() & L.op_ordinal("op").isNotNull())
+    w = w.groupBy("seq").agg(F.min(F.struct("queued_at", "graph_id", "source_id", "is_forward", "op", "execute_at")).alias("o")).select("seq", "o.*")
     t = F.coalesce("execute_at", F.unix_seconds("queued_at"))
-    return w.select("graph_id", F.when(F.coalesce("is_forward", F.lit(True)), 0).otherwise(1).alias("direction"), F.col("source_id").alias("node"), "seq", L.rank_of(t, L.op_ordinal("op")).alias("rank")).dropDuplicates(["seq"])
+    return w.select("graph_id", F.when(F.coalesce("is_forward", F.lit(True)), 0).otherwise(1).alias("direction"), F.col("source_id").alias("node"), "seq", L.rank_of(t, L.op_ordinal("op")).alias("rank"))
 
 
 def node_timeline(mass: DataFrame) -> DataFrame:
@@ -59,59 +65,101 @@ def node_timeline(mass: DataFrame) -> DataFrame:
 
 
 def _timelines(timeline: DataFrame) -> DataFrame:
-    """Per node the changes of its state, oldest first; an operation that changes nothing isn't kept."""
+    """Per node the changes of its state, oldest first; an operation that leaves the state as it is isn't kept."""
     w = W.partitionBy("graph_id", "direction", "node").orderBy("seq")
-    t = timeline.withColumn("was", F.lag("node_rank").over(w)).filter(F.col("was").isNull() | (F.col("was") != F.col("node_rank")))
-    return t.groupBy("graph_id", "direction", "node").agg(F.array_sort(F.collect_list(F.struct("seq", L.rank_ordinal("node_rank").alias("o")))).alias("states"))
+    t = timeline.withColumn("o", L.rank_ordinal("node_rank")).withColumn("was", F.lag("o").over(w)).filter(F.col("was").isNull() | (F.col("was") != F.col("o")))
+    return t.groupBy("graph_id", "direction", "node").agg(F.array_sort(F.collect_list(F.struct("seq", "o"))).alias("states"))
 
 
-def _with_state(rows: DataFrame, lines: DataFrame, direction: int, end: str, name: str) -> DataFrame:
+def _with_state(rows: DataFrame, counted: DataFrame, lines: DataFrame, direction: int, end: str, other: str, name: str) -> DataFrame:
     """Adds the ordinal of the node at ``end`` as of the row's seq, its own operation included; 0 before any."""
     n = lines.filter(F.col("direction") == direction).select("graph_id", F.col("node").alias(end), "states")
-    j = rows.join(n, ["graph_id", end], "left")
-    last = F.element_at(F.filter("states", lambda x: x["seq"] <= F.col("seq")), -1)["o"]
-    return j.withColumn(name, F.coalesce(F.when(F.size(F.filter("states", lambda x: x["seq"] <= F.col("seq"))) > 0, last), F.lit(0))).drop("states")
+    key = ["graph_id", end]
+    j = salted_join(rows, n, key, [F.col(other)], hot_keys(counted, key), how="left")
+    past = F.filter("states", lambda x: x["seq"] <= F.col("seq"))
+    return j.withColumn(name, F.coalesce(F.when(F.size(past) > 0, F.element_at(past, -1)["o"]), F.lit(0))).drop("states")
 
 
-def dominated(rows: DataFrame, timeline: DataFrame) -> DataFrame:
+def _directions(mass: DataFrame) -> list[int]:
+    """Directions that have mass operations: none, one or both."""
+    return sorted(r[0] for r in mass.select("direction").distinct().collect())
+
+
+_ENDS = {0: ("source_id", "destination_id"), 1: ("destination_id", "source_id")}
+
+
+def dominated(rows: DataFrame, timeline: DataFrame, directions=(0, 1)) -> DataFrame:
     """Explicit operations with the state that applies: the greatest of their own, the source's and the destination's."""
     lines = _timelines(timeline)
-    r = _with_state(_with_state(rows, lines, 0, "source_id", "a"), lines, 1, "destination_id", "b")
+    r = rows
+    for i in directions:
+        r = _with_state(r, rows, lines, i, *_ENDS[i], f"state{i}_")
+    names = [f"state{i}_" for i in directions]
     t = F.shiftright("rank", 3)
-    return r.withColumn("rank", t * 8 + F.greatest(L.rank_ordinal("rank"), "a", "b") + 1).drop("a", "b")
+    return r.withColumn("rank", t * 8 + F.greatest(L.rank_ordinal("rank"), *names) + 1).drop(*names) if names else r
 
 
-def expanded(mass: DataFrame, keys: DataFrame, timeline: DataFrame) -> DataFrame:
-    """Mass operations as one operation per edge of the node that was named before: EDGE, seq, idx, rank, pos."""
+def expanded(mass: DataFrame, keys: DataFrame, timeline: DataFrame, directions=(0, 1)) -> DataFrame:
+    """Mass operations as one operation per edge of the node that was named before: EDGE, seq, idx, rank, pos. keys: EDGE,
+    first_seq, and ``past``, whether the edge is met by mass operations that aren't ``new``, too."""
     out = []
-    for direction, end in ((0, "source_id"), (1, "destination_id")):
-        m = mass.filter(F.col("direction") == direction).select("graph_id", F.col("node").alias(end), "seq", "rank")
-        out.append(keys.join(m, ["graph_id", end]).filter(F.col("first_seq") < F.col("seq")).select(*EDGE, "seq", F.lit(0).cast("long").alias("idx"), "rank", F.shiftleft(F.shiftright("rank", 3) * 1000, 20).alias("pos")))
-    return dominated(out[0].unionByName(out[1]), timeline)
-
-
-def _fold_sorted(frames):
-    """Rows sorted by edge, seq and idx -> one row per edge; ``mass`` rows leave Removed edges alone."""
-    key = state = None
-    done = []
-    for f in frames:
-        for g, s, d, rank, pos, mass in zip(f["graph_id"], f["source_id"], f["destination_id"], f["rank"], f["pos"], f["mass"]):
-            if (g, s, d) != key:
-                if key is not None:
-                    done.append((*key, *state))
-                key, state = (g, s, d), (rank, pos)
-                continue
-            old, at = state
-            if (mass and old % 8 == 4) or rank < old:
-                continue
-            state = rank, pos if rank % 8 == 1 and old % 8 in (2, 4) else at
-        if len(done) > 10_000:
-            yield pd.DataFrame(done, columns=[*EDGE, "rank1", "pos1"])
-            done = []
-    if key is not None:
-        done.append((*key, *state))
-    if done:
-        yield pd.DataFrame(done, columns=[*EDGE, "rank1", "pos1"])
+    for i in directions:
+        end, other = _ENDS[i]
+        m = mass.filter(F.col("direction") == i).select("graph_id", F.col("node").alias(end), "seq", "rank", "new")
+        met = salted_join(keys, m, ["graph_id", end], [F.col(other)], hot_keys(keys, ["graph_id", end]))
+        out.append(met.filter((F.col("first_seq") < F.col("seq")) & (F.col("new") | F.col("past"))).select(*EDGE, "seq", F.lit(0).cast("long").alias("idx"), "rank", F.shiftleft(F.shiftright("rank", 3) * 1000, 20).alias("pos")))
+    return dominated(written(reduce(DataFrame.unionByName, out)), timeline, directions)
+
+
+#: Edges of a batch that still have operations, below which numpy's steps cost more than a loop.
+_FEW = 16
+_FOLDED = "graph_id int, source_id long, destination_id long, rank1 long, pos1 long"
+
+
+def _fold_sorted(batches):
+    """Rows sorted by edge, seq and idx -> one row per edge; ``mass`` rows leave Removed edges alone. Step k applies the
+    k-th operation of all edges of the batch at once; the last edge's state is carried into the next batch."""
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        if held is not None:  # its state so far stands in front, like a first row
+            cols = [np.append(np.array([x], c.dtype), c) for x, c in zip(held, cols)]
+        g, s, d, rank, pos, mass = cols
+        starts = np.append(0, np.flatnonzero((g[1:] != g[:-1]) | (s[1:] != s[:-1]) | (d[1:] != d[:-1])) + 1)
+        lens = np.diff(np.append(starts, len(g)))
+        cur, at = rank[starts], pos[starts]
+        k, left = 1, np.flatnonzero(lens > 1)
+        while len(left) >= _FEW:
+            i = starts[left] + k
+            old, new = cur[left], rank[i]
+            ok = (new >= old) & ~(mass[i] & (old % 8 == 4))
+            moved = ok & (new % 8 == 1) & ((old % 8 == 2) | (old % 8 == 4))
+            cur[left], at[left] = np.where(ok, new, old), np.where(moved, pos[i], at[left])
+            k += 1
+            left = left[lens[left] > k]
+        for e in left.tolist():
+            part = slice(starts[e] + k, starts[e] + lens[e])
+            old, p = int(cur[e]), int(at[e])
+            for new, q, m in zip(rank[part].tolist(), pos[part].tolist(), mass[part].tolist()):
+                if new >= old and not (m and old % 8 == 4):
+                    p = q if new % 8 == 1 and old % 8 in (2, 4) else p
+                    old = new
+            cur[e], at[e] = old, p
+        done = [c[starts] for c in (g, s, d)] + [cur, at]
+        held = [c[-1] for c in done] + [False]
+        if len(starts) > 1:
+            yield pa.RecordBatch.from_arrays([pa.array(c[:-1]) for c in done], names=[*EDGE, "rank1", "pos1"])
+    if held is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(np.array([x])) for x in held[:5]], names=[*EDGE, "rank1", "pos1"])
+
+
+def _folded(rows: DataFrame) -> DataFrame:
+    """Rows (edge key, seq, idx, rank, pos, mass) folded; no position is a number below all others on the way."""
+    ordered = rows.withColumn("pos", F.coalesce("pos", F.lit(_BEFORE))).repartition(*EDGE).sortWithinPartitions(*EDGE, "seq", "idx", "rank")
+    folded = ordered.select(F.col("graph_id").cast("int").alias("graph_id"), *EDGE[1:], "rank", "pos", "mass").mapInArrow(_fold_sorted, _FOLDED)
+    return folded.withColumn("pos1", F.when(F.col("pos1") != _BEFORE, F.col("pos1")))
 
 
 def fold_ops(ops: DataFrame) -> DataFrame:
@@ -119,18 +167,20 @@ def fold_ops(ops: DataFrame) -> DataFrame:
 
     Null seq, ids or unknown operations take no part; an empty list names nothing; no operations give no edges.
     """
-    mass = mass_ops(ops)
+    # all are read several times below; written once, they are neither computed again nor lost with an executor
+    mass = written(mass_ops(ops))
     timeline = node_timeline(mass)
-    # both are read several times below; written once, they are neither computed again nor lost with an executor
-    rows = written(dominated(changefeed.explicit_ops(ops), timeline).select(*EDGE, "seq", F.col("idx").cast("long").alias("idx"), "rank", "pos"))
-    keys = rows.groupBy(*EDGE).agg(F.min("seq").alias("first_seq"))
-    more = written(expanded(mass, keys, timeline).select(*_OP))
+    named = written(changefeed.explicit_ops(ops).select(*EDGE, "seq", F.col("idx").cast("long").alias("idx"), "rank", "pos"))
+    ways = _directions(mass)
+    if not ways:
+        return fold_explicit(named)
+    rows = written(dominated(named, timeline, ways).select(*_OP))
+    keys = rows.groupBy(*EDGE).agg(F.min("seq").alias("first_seq")).withColumn("past", F.lit(True))
+    more = written(expanded(mass.withColumn("new", F.lit(True)), keys, timeline, ways).select(*_OP))
     touched = more.select(*EDGE).distinct()
     plain = fold_explicit(rows.join(touched, list(EDGE), "left_anti"))
     mixed = rows.join(touched, list(EDGE), "left_semi").withColumn("mass", F.lit(False)).unionByName(more.withColumn("mass", F.lit(True)))
-    ordered = mixed.repartition(*EDGE).sortWithinPartitions(*EDGE, "seq", "idx", "rank")
-    folded = ordered.select(*EDGE, "rank", "pos", "mass").mapInPandas(_fold_sorted, "graph_id int, source_id long, destination_id long, rank1 long, pos1 long")
-    return plain.unionByName(as_edges(folded))
+    return plain.unionByName(as_edges(_folded(mixed)))
 
 
 def fold_onto(base: DataFrame, past: DataFrame, new: DataFrame, ops: DataFrame) -> DataFrame:
@@ -143,20 +193,22 @@ def fold_onto(base: DataFrame, past: DataFrame, new: DataFrame, ops: DataFrame)
     """
     mass = past.unionByName(new)
     timeline = node_timeline(mass)
-    rows = written(dominated(changefeed.explicit_ops(ops), timeline).select(*_OP))
+    start = base.select(*EDGE, "rank0", "pos0", F.lit(True).alias("known"))
+    rows = written(changefeed.explicit_ops(ops).select(*_OP))
+    ways = _directions(mass)
+    if not ways:
+        return changefeed.images_of(rows, start).select(*EDGE, "rank1", "pos1")
+    rows = written(dominated(rows, timeline, ways).select(*_OP))
     named = rows.groupBy(*EDGE).agg(F.min("seq").alias("first_seq"))
-    fresh = named.join(base, list(EDGE), "left_anti")
-    stored = base.select(*EDGE, F.lit(_BEFORE).alias("first_seq"))
-    more = written(expanded(new, stored, timeline).unionByName(expanded(mass, fresh, timeline)).select(*_OP))
+    fresh = named.join(base, list(EDGE), "left_anti").withColumn("past", F.lit(True))
+    stored = base.select(*EDGE, F.lit(_BEFORE).alias("first_seq"), F.lit(False).alias("past"))
+    both = past.withColumn("new", F.lit(False)).unionByName(new.withColumn("new", F.lit(True)))
+    more = written(expanded(both, stored.unionByName(fresh), timeline, ways).select(*_OP))
     touched = more.select(*EDGE).distinct()
-    start = base.select(*EDGE, "rank0", "pos0", F.lit(True).alias("known"))
     plain = changefeed.images_of(rows.join(touched, list(EDGE), "left_anti"), start).select(*EDGE, "rank1", "pos1")
     first = base.select(*EDGE, F.lit(_BEFORE).alias("seq"), F.lit(-1).alias("idx"), F.col("rank0").alias("rank"), F.col("pos0").alias("pos"))
     mixed = first.unionByName(rows).join(touched, list(EDGE), "left_semi").withColumn("mass", F.lit(False)).unionByName(more.withColumn("mass", F.lit(True)))
-    # a column with nulls would become floats in pandas
-    ordered = mixed.withColumn("pos", F.coalesce("pos", F.lit(_BEFORE))).repartition(*EDGE).sortWithinPartitions(*EDGE, "seq", "idx", "rank")
-    folded = ordered.select(*EDGE, "rank", "pos", "mass").mapInPandas(_fold_sorted, "graph_id int, source_id long, destination_id long, rank1 long, pos1 long")
-    return plain.unionByName(folded.withColumn("pos1", F.when(F.col("pos1") != _BEFORE, F.col("pos1"))))
+    return plain.unionByName(_folded(mixed))
 
 
 def node_table(edges: DataFrame, timeline: DataFrame | None = None) -> DataFrame:

@@ -27,6 +27,19 @@ def merge_nodes(*copies: DataFrame) -> DataFrame:
     return merge_copies(*copies, keys=NODE, fields=("count",))
 
 
+def stale_nodes(copy: DataFrame, merged: DataFrame) -> DataFrame:
+    """Merged nodes that ``copy`` lacks or has older."""
+    return stale_rows(copy, merged, NODE)
+
+
+def nodes_as_ops(rows: DataFrame) -> DataFrame:
+    """Node rows (graph_id, source_id, state, updated_at and, unless forward, direction) as mass operations that bring the
+    node to its state again: the schema of operations, seq left to the caller."""
+    forward = F.col("direction") == 0 if "direction" in rows.columns else F.lit(True)
+    op = F.when(F.col("state") == 0, 1).when(F.col("state") == 1, 2).when(F.col("state") == 2, 3).when(F.col("state") == 3, 4)
+    return rows.select("graph_id", "source_id", forward.alias("is_forward"), F.lit(None).cast("array<long>").alias("destination_ids"), op.alias("op"), F.lit(None).cast("long").alias("position"), F.col("updated_at").alias("execute_at"))
+
+
 def as_ops(rows: DataFrame) -> DataFrame:
     """Edge rows as operations that write them again: the schema of operations, seq left to the caller."""
     op = F.when(F.col("state") == 0, 1).when(F.col("state") == 1, 2).when(F.col("state") == 2, 3).when(F.col("state") == 3, 4)

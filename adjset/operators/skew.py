@@ -10,6 +10,9 @@ HEAVY = 256
 #: Parts that a heavy key is split into.
 SALTS = 64
 
+#: Rows up to which a key is never worth salts, where keys are looked for at once.
+HOT_ROWS = 10_000
+
 #: Measures that merge: partial aggregate and the aggregate that merges partials.
 _MERGE = {"count": (F.count, F.sum), "sum": (F.sum, F.sum), "min": (F.min, F.min), "max": (F.max, F.max)}
 
@@ -23,6 +26,14 @@ def heavy_keys(df: DataFrame, keys, most: int = HEAVY) -> DataFrame:
     return df.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("key_rows")).orderBy(F.desc("key_rows"), *keys).limit(most).select(*keys)
 
 
+def hot_keys(df: DataFrame, keys, least: int = HOT_ROWS, most: int = HEAVY) -> DataFrame:
+    """:func:`heavy_keys` of more than ``least`` rows, found at once and held as at most ``most`` rows of the plan itself, so
+    that plans in which they stand several times don't count several times, and are plain joins where there is none."""
+    counts = df.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("key_rows")).filter(F.col("key_rows") > least)
+    got = [tuple(r)[:-1] for r in counts.orderBy(F.desc("key_rows"), *keys).limit(most).collect()]
+    return df.sparkSession.createDataFrame(got, df.select(*keys).schema)
+
+
 def with_salt(df: DataFrame, keys, spread: list[Column], salts: int = SALTS, most: int = HEAVY, heavy: DataFrame | None = None, name: str = "salt_") -> DataFrame:
     """``df`` and a salt column: 0 .. salts-1 for heavy keys, 0 for the others.
 

@@ -33,8 +33,7 @@ def p2_edge_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    changes = changefeed.signed_changes(table(spark, sf, "graph_edges"), table(spark, sf, "execute_operations"))
-    return changes.filter("multiplicity > 0").select(*EDGE, "state", "position")
+    return changefeed.changed_rows(table(spark, sf, "graph_edges"), table(spark, sf, "execute_operations")).select(*EDGE, "state", "position")
 
 
 def p4_table(spark: SparkSession, sf: str) -> DataFrame:

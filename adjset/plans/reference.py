@@ -9,12 +9,16 @@ from ..functions import lattice as L
 from ..functions import packed, position
 from ..operators import algebra, changefeed, repair
 from ..operators.current import EDGE, NODE
-from ..operators.fold import both_directions, dominated, fold_explicit, fold_ops, node_table, node_timeline
-from ..operators.paging import pages, scan_after
+from ..operators.fold import both_directions, dominated, fold_explicit, fold_ops, mass_ops, node_table, node_timeline
+from ..model import Cursor
+from ..operators.paging import keyset_pages, pages, scan_after
 from ..operators.skew import salted_aggregate
+from ..functions.session import new_path
 from ..sources import jobs
+from ..sources.store import GraphStore, table_id
 from ..sources.tables import table
 from . import derive
+from .problems import RANK, STATE
 
 #: Rows of a page, and a cursor in the middle of graph 1.
 PAGE, MIDDLE = 5, 50
@@ -155,6 +159,29 @@ for _name, _cursor in (("page_start", -1), ("page_forward", MIDDLE), ("page_back
     query(_N1 + ", " + _page_sql("n", "source_id", "destination_id", PAGE, _cursor, _FIELDS))(_paged)
 
 
+_TIED = _1 + ", n AS (SELECT source_id, destination_id, position >> 41 AS k FROM e WHERE state = 0)"
+
+
+@query(_TIED + f""", r AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY k DESC, destination_id DESC) AS i, count(*) OVER (PARTITION BY source_id) AS n FROM n)
+SELECT source_id, destination_id, k, n > {2 * PAGE} AS more, true AS before FROM r WHERE i BETWEEN {PAGE + 1} AND {2 * PAGE}""")
+def page_ties(spark, sf):
+    """The second page of every source by a key with many ties, from the cursor of the first."""
+    n = _normal(spark, sf).select("source_id", "destination_id", F.shiftright("position", 41).alias("k"))
+    first = keyset_pages(n, ["source_id"], "k", PAGE, tie="destination_id").select("source_id", "next").distinct()
+    second = keyset_pages(n.join(first.withColumnRenamed("next", "at"), "source_id"), ["source_id"], "k", PAGE, F.col("at"), "destination_id")
+    return second.select("source_id", "destination_id", "k", (F.col("next.kind") != "end").alias("more"), (F.col("prev.kind") != "end").alias("before"))
+
+
+@query(_N1 + f""", r AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY destination_id) AS i, count(*) OVER (PARTITION BY source_id) AS n, max(destination_id) OVER (PARTITION BY source_id ORDER BY destination_id ROWS BETWEEN CURRENT ROW AND {PAGE - 1} FOLLOWING) AS high FROM n WHERE destination_id > 1),
+o AS (SELECT DISTINCT source_id, true AS x FROM n WHERE destination_id <= 1),
+f AS (SELECT source_id, min(destination_id) AS low, max(high) FILTER (i = 1) AS high FROM r GROUP BY ALL)
+SELECT source_id, destination_id, CASE WHEN x THEN low END AS next_key, CASE WHEN n > {PAGE} THEN f.high END AS prev_key FROM r JOIN f USING (source_id) LEFT JOIN o USING (source_id) WHERE i <= {PAGE}""")
+def page_key_zero_one(spark, sf):
+    """The page above id 1, which the wire form can't name: it stands for the start there."""
+    got = keyset_pages(_normal(spark, sf).select("source_id", "destination_id"), ["source_id"], "destination_id", PAGE, Cursor("backward", 1))
+    return got.select("source_id", "destination_id", F.col("next.key").alias("next_key"), F.col("prev.key").alias("prev_key"))
+
+
 # --- set expressions: query q combines the neighbours of q, q + 1, q + 2 and q + 3
 
 
@@ -216,6 +243,19 @@ def batched_count(spark, sf):
     return algebra.neighbours(both_directions(_edges(spark, sf)), _terms(spark, sf)).groupBy("query_id", "leaf_no").agg(F.count(F.lit(1)).alias("ids"))
 
 
+#: Shapes of mixed queries over four leaves, as codes of the stack machine, and their SQL.
+_MIXED = [([0, 1, -1], _SHAPES["intersection"][1]), ([0, 1, -2], _SHAPES["union"][1]), ([0, 1, -3], _SHAPES["difference"][1]), ([0, 1, -1, 2, -2, 3, -3], _SHAPES["nested_set_expr"][1]), ([2, 0, -3, 3, 1, -1, -2], f"({_LEAF.format(2)} EXCEPT {_LEAF.format(0)}) UNION ({_LEAF.format(3)} INTERSECT {_LEAF.format(1)})")]
+
+
+@query(f"{_LEAVES} SELECT query_id, destination_id FROM (" + " UNION ALL ".join(f"SELECT * FROM ({s}) WHERE query_id % {len(_MIXED)} = {i}" for i, (_, s) in enumerate(_MIXED)) + ") WHERE query_id >= 0")
+def batched_mixed(spark, sf):
+    """A query per node, each with one of several shapes, in one job."""
+    leaves = _leaves(spark, sf).filter("query_id >= 0")
+    shape = F.element_at(F.array(*[F.array(*map(F.lit, codes)) for codes, _ in _MIXED]), (F.col("query_id") % len(_MIXED) + 1).cast("int"))
+    programs = leaves.select("query_id").distinct().withColumn("program", shape)
+    return algebra.evaluate_programs(leaves.withColumn("position", F.lit(None).cast("long")), programs, 4).select("query_id", "destination_id")
+
+
 # --- counts
 
 _NODES = ", d AS (SELECT graph_id, CAST(0 AS INT) AS direction, source_id, state FROM e UNION ALL SELECT graph_id, 1, destination_id, state FROM e)"
@@ -298,10 +338,11 @@ def endpoint_dominance(spark, sf):
 def _mass_log(spark, sf, again: bool) -> DataFrame:
     """Graph 2 as a log of operations with mass operations at its end."""
     rows = derive.purchases(spark, sf)
-    # one seq per operation: equal ones are the same operation, and the shipping time orders the others
-    explicit = rows.select(F.xxhash64(*EDGE, "seq", "rank").alias("seq"), "graph_id", "source_id", F.lit(True).alias("is_forward"), F.array("destination_id").alias("destination_ids"),
+    # one seq per operation, in the order of the rows: lines that share a seq are told apart by shipping day and state, and by their edge
+    day = F.floor(L.rank_time("rank") / 86400) * 8 + L.rank_ordinal("rank") + 1
+    seq = F.shiftleft("seq", 27) + F.shiftleft(day, 10) + F.pmod(F.xxhash64(*EDGE), F.lit(1024))
+    explicit = rows.select(seq.alias("seq"), "graph_id", "source_id", F.lit(True).alias("is_forward"), F.array("destination_id").alias("destination_ids"),
                            F.when(L.rank_ordinal("rank") == 0, 1).when(L.rank_ordinal("rank") == 2, 3).otherwise(2).alias("op"), F.col("pos").alias("position"), L.rank_time("rank").alias("execute_at"))
-    explicit = explicit.withColumn("seq", F.shiftrightunsigned("seq", 2))
     m = _debtors(spark, sf, again=again)
     mass = m.select((F.col("seq") + F.lit(1 << 62)).alias("seq"), "graph_id", F.col("node").alias("source_id"), F.lit(True).alias("is_forward"), F.lit(None).cast("array<long>").alias("destination_ids"),
                     F.when(L.rank_ordinal("rank") == 0, 1).otherwise(3).alias("op"), F.lit(None).cast("long").alias("position"), L.rank_time("rank").alias("execute_at"))
@@ -311,17 +352,52 @@ def _mass_log(spark, sf, again: bool) -> DataFrame:
 def _mass_sql(again: bool) -> str:
     s = "CASE WHEN r % 8 = 4 OR c_acctbal IS NULL OR c_acctbal >= 0 THEN {old} " + ("WHEN c_acctbal < -500 THEN {added} " if again else "") + "ELSE {archived} END"
     t = s.format(old="updated_at", added=LATE + 1, archived=LATE)
-    return _2 + f" SELECT source_id, destination_id, {t} AS updated_at, CAST({s.format(old='state', added=0, archived=2)} AS INT) AS state FROM e LEFT JOIN customer ON c_custkey = source_id"
+    return _2 + f" SELECT source_id, destination_id, position, {t} AS updated_at, CAST({s.format(old='state', added=0, archived=2)} AS INT) AS state FROM e LEFT JOIN customer ON c_custkey = source_id"
 
 
 @query(_mass_sql(False))
 def wildcard_archive(spark, sf):
-    return fold_ops(_mass_log(spark, sf, False)).select("source_id", "destination_id", "updated_at", "state")
+    return fold_ops(_mass_log(spark, sf, False)).select("source_id", "destination_id", "position", "updated_at", "state")
 
 
 @query(_mass_sql(True))
 def wildcard_unarchive(spark, sf):
-    return fold_ops(_mass_log(spark, sf, True)).select("source_id", "destination_id", "updated_at", "state")
+    return fold_ops(_mass_log(spark, sf, True)).select("source_id", "destination_id", "position", "updated_at", "state")
+
+
+_STATED = f""", w AS (SELECT CAST(2 AS INT) AS graph_id, * FROM ({_mass_sql(True)})), d AS (SELECT graph_id, CAST(0 AS INT) AS direction, source_id, state FROM w UNION ALL SELECT graph_id, 1, destination_id, state FROM w),
+c AS (SELECT graph_id, direction, source_id, state, count(*) AS n FROM d GROUP BY ALL),
+t AS (SELECT CAST(2 AS INT) AS graph_id, CAST(0 AS INT) AS direction, c_custkey AS source_id, CAST(CASE WHEN c_acctbal < -500 THEN 0 ELSE 2 END AS INT) AS s, CASE WHEN c_acctbal < -500 THEN {LATE + 1} ELSE {LATE} END AS t FROM customer WHERE c_acctbal < 0),
+k AS (SELECT graph_id, direction, source_id FROM c UNION SELECT graph_id, direction, source_id FROM t)
+SELECT graph_id, direction, source_id, coalesce(s, 0) AS state, coalesce(n, 0) AS count, coalesce(t, CAST(0 AS BIGINT)) AS updated_at FROM k LEFT JOIN t USING (graph_id, direction, source_id) LEFT JOIN c ON (c.graph_id, c.direction, c.source_id, c.state) = (k.graph_id, k.direction, k.source_id, coalesce(s, 0))"""
+
+
+@query("WITH x AS (SELECT 1)" + _STATED)
+def node_count_states(spark, sf):
+    """Counts of nodes in different states: customers in debt are Archived."""
+    log = _mass_log(spark, sf, True)
+    return node_table(fold_ops(log), node_timeline(mass_ops(log)))
+
+
+@query("WITH x AS (SELECT 1)" + _STATED)
+def stored_node_counts(spark, sf):
+    """The same from a store that takes the log in two parts and keeps its counts up."""
+    log = _mass_log(spark, sf, True)
+    store = GraphStore(spark, new_path(spark))
+    store.apply(log.filter(F.col("destination_ids").isNotNull()))
+    store.apply(log.filter(F.col("destination_ids").isNull()))
+    return store.nodes()
+
+
+@query(_mass_sql(True))
+def stored_edges(spark, sf):
+    """Edges of such a store, read back by direction and graph."""
+    log = _mass_log(spark, sf, True)
+    store = GraphStore(spark, new_path(spark))
+    store.apply(log.filter(F.col("destination_ids").isNotNull()))
+    store.apply(log.filter(F.col("destination_ids").isNull()))
+    e = store.edges().filter((F.col("graph_id") == 2) & (F.col("direction") == 1))
+    return e.select(F.col("destination_id").alias("source_id"), F.col("source_id").alias("destination_id"), "position", "updated_at", "state")
 
 
 @query(None)
@@ -334,8 +410,6 @@ def fold_all_ops(spark, sf):
 
 
 def _merged(keys: str, fields: str, *tables: str) -> str:
-    from .problems import RANK
-
     union = " UNION ALL ".join(f"SELECT {keys}, {fields}, updated_at, state FROM {t}" for t in tables)
     wrapped = ", ".join(f"'{f}': {{'k': {f} IS NOT NULL, 'v': coalesce({f}, 0)}}" for f in fields.split(", "))
     out = ", ".join(f"CASE WHEN m.{f}.k THEN m.{f}.v END AS {f}" for f in fields.split(", "))
@@ -358,10 +432,34 @@ def replica_diff(spark, sf):
     return repair.stale_rows(replica, repair.merge_copies(table(spark, sf, "graph_edges"), replica))
 
 
-@query(f"SELECT {', '.join(NODE)}, count, updated_at, state FROM ({_merged(', '.join(NODE), 'count', 'graph_metadata')})")
+#: A second copy of the nodes, as the replica's edges have them: the newest time and state of a source's edges.
+_NODE_COPY = f"(SELECT graph_id, source_id, CAST(NULL AS INT) AS count, r // 8 AS updated_at, CAST({STATE.format('r')} AS INT) AS state FROM (SELECT graph_id, source_id, max({RANK}) AS r FROM replica_edges GROUP BY ALL))"
+
+
+def _node_copies(spark, sf) -> tuple[DataFrame, DataFrame]:
+    r = table(spark, sf, "replica_edges").groupBy(*NODE).agg(F.max(L.rank()).alias("r"))
+    return table(spark, sf, "graph_metadata"), r.select(*NODE, F.lit(None).cast("int").alias("count"), L.rank_time("r").alias("updated_at"), L.rank_state("r").alias("state"))
+
+
+_NODE_KEYS = ", ".join(NODE)
+
+
+@query(f"SELECT {_NODE_KEYS}, count, updated_at, state FROM ({_merged(_NODE_KEYS, 'count', 'graph_metadata', _NODE_COPY)})")
 def node_replica_merge(spark, sf):
-    m = table(spark, sf, "graph_metadata")
-    return repair.merge_nodes(m, m)
+    return repair.merge_nodes(*_node_copies(spark, sf))
+
+
+@query(f"WITH b AS ({_merged(_NODE_KEYS, 'count', 'graph_metadata', _NODE_COPY)}), r AS ({_merged(_NODE_KEYS, 'count', 'graph_metadata')}) SELECT {_NODE_KEYS}, CAST(CASE state WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 END AS INT) AS op, updated_at AS execute_at FROM b ANTI JOIN r USING ({_NODE_KEYS}, r)")
+def node_repair_ops(spark, sf):
+    """What the first copy lacks or has older, as the operations that repair it."""
+    a, b = _node_copies(spark, sf)
+    return repair.nodes_as_ops(repair.stale_nodes(a, repair.merge_nodes(a, b))).select(*NODE, "op", "execute_at")
+
+
+@query(_1 + " SELECT graph_id AS table_id, source_id, destination_id FROM e UNION ALL SELECT -graph_id, destination_id, source_id FROM e")
+def table_ids(spark, sf):
+    two = both_directions(_edges(spark, sf))
+    return two.select(table_id(F.col("direction"), F.col("graph_id")).alias("table_id"), "source_id", "destination_id")
 
 
 # --- positions, operations, jobs, packed ids

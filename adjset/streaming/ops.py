@@ -1,11 +1,13 @@
-"""A stream of operations folded into a stored edge table.
-
-Every micro-batch folds its operations onto the edges as they are and writes the next version; ``seq`` orders operations
-within and across batches. Mass operations are kept beside the edges: they meet the edges as they are, and the node states
-they lead to dominate explicit operations, those of later batches included. Operations may come again or late: the merge by
-time and state is safe to repeat, a mass operation counts once by its seq, and nothing expires, since removed edges are kept.
-An operation that comes after later ones meets stored edges as they are, with the node states as of its seq. Operations
-that can't be read go to a dead-letter folder.
+"""A stream of operations folded into stored graphs.
+
+Every micro-batch folds its operations onto the edges as they are and writes the partitions that it touches (see
+:mod:`adjset.sources.store`); ``seq`` orders operations within and across batches. Mass operations are kept beside the edges:
+they meet the edges as they are, and the node states they lead to dominate explicit operations, those of later batches
+included. Operations may come again or late: the merge by time and state is safe to repeat, a mass operation counts once by
+its seq, and nothing expires, since removed edges are kept. Versions go on from the newest whatever the number of a batch
+is, so a stream that starts again with a new checkpoint applies its operations to what is there. An operation that comes after later ones
+meets stored edges as they are, with the node states as of its seq. Operations that can't be read go to a dead-letter folder,
+from where they can be taken up again a limited number of times.
 """
 
 from __future__ import annotations
@@ -15,73 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import lattice as L
-from ..functions.session import written
-from ..model import OPS
-from ..operators.current import EDGE, current_rows
-from ..operators.fold import fold_onto, mass_ops, node_table, node_timeline
-
-COLUMNS = ["graph_id", "source_id", "destination_id", "state", "updated_at", "position"]
-MASS = "graph_id int, direction int, node long, seq long, rank long"
-
-
-class EdgeStore:
-    """Versions of an edge table in a folder; the newest complete one counts. ``mass/v*`` holds their mass operations."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
-
-    def versions(self) -> list[int]:
-        fs, p, jvm = self._fs()
-        if not fs.exists(p):
-            return []
-        names = [s.getPath() for s in fs.listStatus(p)]
-        return sorted(int(x.getName()[1:]) for x in names if x.getName().startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS")))
-
-    def read(self, version: int | None = None) -> DataFrame:
-        v = self.versions()
-        if not v:
-            return self.spark.createDataFrame([], "graph_id int, source_id long, destination_id long, state int, updated_at long, position long")
-        return self.spark.read.parquet(f"{self.path}/v{v[-1] if version is None else version}")
-
-    def mass(self, version: int | None = None) -> DataFrame:
-        """All mass operations up to a version, once each; a version from before they were kept has none."""
-        v = self.versions()
-        fs, _, jvm = self._fs()
-        path = f"{self.path}/mass/v{v[-1] if v and version is None else version}"
-        if not v or not fs.exists(jvm.org.apache.hadoop.fs.Path(path)):
-            return self.spark.createDataFrame([], MASS)
-        return self.spark.read.schema(MASS).parquet(path)
-
-    def nodes(self) -> DataFrame:
-        """Nodes of both directions with their states and counts, see :func:`adjset.operators.fold.node_table`."""
-        return node_table(self.read(), node_timeline(self.mass()))
-
-    def write(self, edges: DataFrame, mass: DataFrame, version: int) -> None:
-        """A version is written whole, so a batch that runs again after a failure leaves the same table. The edges come
-        last, since it is they that make it count."""
-        mass.write.mode("overwrite").parquet(f"{self.path}/mass/v{version}")
-        edges.write.mode("overwrite").parquet(f"{self.path}/v{version}")
-        fs, _, jvm = self._fs()
-        for old in self.versions()[:-2]:
-            for at in (f"{self.path}/v{old}", f"{self.path}/mass/v{old}"):
-                fs.delete(jvm.org.apache.hadoop.fs.Path(at), True)
-
-    def apply(self, ops: DataFrame, version: int) -> None:
-        """Base of version v is the newest version below v, also when v is applied again."""
-        before = [v for v in self.versions() if v < version]
-        base = self.read(before[-1]) if before else self.read().limit(0)
-        past = self.mass(before[-1]) if before else self.spark.createDataFrame([], MASS)
-        new = written(mass_ops(ops).join(past.select("seq"), "seq", "left_anti").select(*past.columns))
-        old = current_rows(base, EDGE, ["position"]).select(*EDGE, F.col("rank").alias("rank1"), F.col("position").alias("pos1"))
-        images = fold_onto(old.withColumnsRenamed({"rank1": "rank0", "pos1": "pos0"}), past, new, ops)
-        edges = old.join(images.select(*EDGE), list(EDGE), "left_anti").unionByName(images)
-        edges = edges.select(*EDGE, L.rank_state("rank1").alias("state"), L.rank_time("rank1").alias("updated_at"), F.col("pos1").alias("position"))
-        self.write(edges.select(*COLUMNS), past.unionByName(new), version)
+from ..model import HIGH, LOW, MEDIUM, OPS
+from ..sources.store import GraphStore
+
+#: How often an operation is taken up again before it is left for good, and the share of files per batch of each priority (fixed values).
+RETRIES = 100
+FILES = {HIGH: 32, MEDIUM: 12, LOW: 2}
 
 
 def readable(ops: DataFrame):
@@ -89,13 +30,17 @@ def readable(ops: DataFrame):
     return F.col("seq").isNotNull() & F.col("graph_id").isNotNull() & F.col("source_id").isNotNull() & L.op_ordinal("op").isNotNull()
 
 
-def stream_ops(ops: DataFrame, store: EdgeStore, checkpoint: str, dead_letters: str, once: bool = True) -> StreamingQuery:
+def stream_ops(ops: DataFrame, store: GraphStore, checkpoint: str, dead_letters: str, once: bool = True) -> StreamingQuery:
     """Starts the stream; ``ops`` is a streaming DataFrame of operations (see :data:`adjset.model.OPS`)."""
 
+    ops_columns = [c for c in ops.columns if c != "attempts"]
+
     def batch(df: DataFrame, number: int) -> None:
         ok = readable(df)
-        df.filter(~ok).write.mode("overwrite").json(f"{dead_letters}/batch={number}")
-        store.apply(df.filter(ok), number)
+        # named by the version they were met at: batches of another checkpoint have the same numbers
+        bad = df.filter(~ok).withColumn("attempts", (F.coalesce(F.col("attempts"), F.lit(0)) if "attempts" in df.columns else F.lit(0)) + 1)
+        bad.write.mode("overwrite").json(f"{dead_letters}/batch={store.manifest()['version']}-{number}")
+        store.apply(df.filter(ok).select(*ops_columns))
 
     w = ops.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w).start()
@@ -103,4 +48,26 @@ def stream_ops(ops: DataFrame, store: EdgeStore, checkpoint: str, dead_letters:
 
 def read_ops(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
     """Operations from JSON files that arrive in a folder."""
-    return spark.readStream.schema(OPS).option("maxFilesPerTrigger", files_per_batch).json(folder)
+    return spark.readStream.schema(OPS + ", attempts int").option("maxFilesPerTrigger", files_per_batch).json(folder)
+
+
+def enqueue(ops: DataFrame, folder: str) -> None:
+    """Operations put into the queue: files in a folder per priority, null being the highest."""
+    ops.withColumn("queue", F.coalesce("priority", F.lit(HIGH))).write.mode("append").partitionBy("queue").json(folder)
+
+
+def drain(spark: SparkSession, folder: str, store: GraphStore, checkpoint: str, dead_letters: str) -> None:
+    """Everything in the queue, once: urgent operations first, in batches of as many files as their priority has a share."""
+    for priority in (HIGH, MEDIUM, LOW):
+        path = f"{folder}/queue={priority}"
+        fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path):
+            stream_ops(read_ops(spark, path, FILES[priority]), store, f"{checkpoint}/{priority}", f"{dead_letters}/{priority}").awaitTermination()
+
+
+def requeue(spark: SparkSession, dead_letters: str, folder: str, limit: int = RETRIES) -> DataFrame:
+    """Dead letters put into the queue again, with the number of attempts so far; those that have had ``limit`` of them come
+    back as a frame and are left where they are."""
+    bad = spark.read.schema(OPS + ", attempts int").option("recursiveFileLookup", "true").json(dead_letters)
+    enqueue(bad.filter(F.col("attempts") < limit), folder)
+    return bad.filter(F.col("attempts") >= limit)

@@ -14,9 +14,10 @@ from adjset.model import END, OPS, START, Cursor, GraphError
 from adjset.operators import algebra, repair
 from adjset.operators.algebra import Term, from_postfix, to_postfix
 from adjset.operators.fold import both_directions, fold_ops, mass_ops, node_table, node_timeline
-from adjset.operators.paging import pages, scan_after
+from adjset.operators.paging import keyset_pages, pages, scan_after
 from adjset.sources.jobs import parse_jobs, to_jobs
-from adjset.streaming.ops import EdgeStore, read_ops, stream_ops
+from adjset.sources.store import GraphStore, bucket_column, bucket_of
+from adjset.streaming.ops import drain, enqueue, read_ops, requeue, stream_ops
 
 ADD, REMOVE, ARCHIVE, NEGATE = 1, 2, 3, 4
 N, R, A, NEG = 0, 1, 2, 3
@@ -269,7 +270,7 @@ def test_stream_equals_one_batch(spark, tmp_path):
     r = random.Random(21)
     ops = [(i, 1, r.randint(1, 4), True, [r.randint(1, 4)], r.randint(1, 4), r.randint(1, 99), r.randint(1, 6)) for i in range(60)]
     (tmp_path / "in").mkdir()
-    store = EdgeStore(spark, str(tmp_path / "edges"))
+    store = GraphStore(spark, str(tmp_path / "edges"), buckets=2)
     keys = ["seq", "graph_id", "source_id", "is_forward", "destination_ids", "op", "position", "execute_at"]
     for k in range(3):
         part = [dict(zip(keys, o)) for o in ops[k * 20 : k * 20 + 20]] + [{"seq": 1000 + k, "graph_id": 1, "op": 9}]
@@ -280,7 +281,7 @@ def test_stream_equals_one_batch(spark, tmp_path):
     got = lambda: {tuple(x[:3]): [x.position, x.updated_at, x.state] for x in store.read().select("graph_id", "source_id", "destination_id", "position", "updated_at", "state").collect()}
     assert got() == edges
     assert spark.read.json(str(tmp_path / "dead")).count() == 3
-    store.apply(ops_df(spark, ops[40:]), store.versions()[-1])  # the last batch again
+    store.apply(ops_df(spark, ops[40:]))  # the last batch again
     assert got() == edges
 
 
@@ -290,8 +291,8 @@ def mixed_log(r, graphs, length):
 
 
 def test_stream_with_mass_operations_equals_one_batch(spark, tmp_path):
-    ops = mixed_log(random.Random(31), 40, 15)
-    store = EdgeStore(spark, str(tmp_path / "edges"))
+    ops = mixed_log(random.Random(31), 20, 15)
+    store = GraphStore(spark, str(tmp_path / "edges"), buckets=2)
     (tmp_path / "in").mkdir()
     keys = ["seq", "graph_id", "source_id", "is_forward", "destination_ids", "op", "position", "execute_at"]
     for k in range(3):
@@ -302,16 +303,15 @@ def test_stream_with_mass_operations_equals_one_batch(spark, tmp_path):
     states = lambda: {k: v for k, v in {(x.graph_id, x.direction, x.source_id): (x.updated_at, x.state) for x in store.nodes().collect()}.items() if k in nodes}
     assert got() == edges
     assert states() == nodes
-    last = store.versions()[-1]
-    store.apply(ops_df(spark, [o for o in ops if o[0] % 1000 >= 10]), last)  # the last batch again
+    store.apply(ops_df(spark, [o for o in ops if o[0] % 1000 >= 10]))  # the last batch again
     assert got() == edges
-    store.apply(ops_df(spark, [o for o in ops if o[4] is None]), last + 1)  # mass operations that come again
+    store.apply(ops_df(spark, [o for o in ops if o[4] is None]))  # mass operations that come again
     assert got() == edges and states() == nodes
 
 
 def test_stream_applies_node_states_to_later_and_late_operations(spark, tmp_path):
-    store = EdgeStore(spark, str(tmp_path / "edges"))
-    store.apply(ops_df(spark, [(1, 1, 1, True, [2], ADD, 5, 10)]), 0)
-    store.apply(ops_df(spark, [(4, 1, 1, True, None, ARCHIVE, None, 20)]), 1)
-    store.apply(ops_df(spark, [(5, 1, 1, True, [3], ADD, 5, 30), (2, 1, 1, True, [4], ADD, 5, 10)]), 2)
+    store = GraphStore(spark, str(tmp_path / "edges"), buckets=2)
+    store.apply(ops_df(spark, [(1, 1, 1, True, [2], ADD, 5, 10)]))
+    store.apply(ops_df(spark, [(4, 1, 1, True, None, ARCHIVE, None, 20)]))
+    store.apply(ops_df(spark, [(5, 1, 1, True, [3], ADD, 5, 30), (2, 1, 1, True, [4], ADD, 5, 10)]))
     assert {x.destination_id: (x.state, x.updated_at) for x in store.read().collect()} == {2: (A, 20), 3: (A, 30), 4: (A, 20)}
