@@ -1,4 +1,4 @@
-"""Arithmetic in the field of 2**61 - 1 elements: numpy for many values, Python integers for single polynomials."""
+"""Arithmetic and polynomials in the field of 2**61 - 1 elements, many at once."""
 
 from __future__ import annotations
 
@@ -58,95 +58,117 @@ def products(h: np.ndarray, starts: np.ndarray, zs: np.ndarray) -> np.ndarray:
     return v
 
 
-# --- polynomials as lists of Python integers, lowest power first
-
-
-def _trim(a: list[int]) -> list[int]:
-    while a and a[-1] == 0:
-        a.pop()
-    return a
-
-
-def value(a: list[int], x: int) -> int:
-    y = 0
-    for c in reversed(a):
-        y = (y * x + c) % P
+def inverses(x: np.ndarray) -> np.ndarray:
+    """1 / x, elementwise, as x to the power of P - 2 (0 stays 0): powers 2**k - 1 by doubling k, then the last three bits."""
+    def squared(y, n):
+        for _ in range(n):
+            y = mul(y, y)
+        return y
+
+    power, k = x, 1  # x ** (2 ** k - 1)
+    for bit in "11010":  # 58 = 0b111010: the first bit is done
+        power, k = mul(squared(power, k), power), 2 * k
+        if bit == "1":
+            power, k = mul(squared(power, 1), x), k + 1
+    # P - 2 = (2 ** 58 - 1) * 8 + 0b101
+    return mul(squared(power, 3), mul(squared(x, 2), x))
+
+
+def _powers(zs: np.ndarray, n: int) -> np.ndarray:
+    """(points, n): z ** 0 .. z ** (n - 1)."""
+    out = [np.ones(len(zs), np.uint64)]
+    for _ in range(n - 1):
+        out.append(mul(out[-1], zs))
+    return np.stack(out, 1)
+
+
+def solve(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Systems of linear equations (systems, rows, unknowns + 1), by elimination in all systems at once: a solution each, in
+    which unknowns that are free are 0, and whether there is one."""
+    m = m.copy()
+    n, rows, width = m.shape
+    at, every = np.zeros(n, np.int64), np.arange(n)
+    pivot_of = np.full((n, width - 1), -1)
+    below = np.arange(rows)[None, :]
+    for c in range(width - 1):
+        usable = (m[:, :, c] != 0) & (below >= at[:, None])
+        has, p = usable.any(1), usable.argmax(1)
+        i = every[has]
+        if not len(i):
+            continue
+        r, q = at[i], p[i]
+        top = m[i, q].copy()
+        m[i, q] = m[i, r]
+        top = mul(top, inverses(top[:, c])[:, None])
+        rest = sub(m[i], mul(m[i][:, :, c][:, :, None], top[:, None, :]))
+        rest[np.arange(len(i)), r] = top
+        m[i] = rest
+        pivot_of[i, c] = r
+        at[i] += 1
+    ok = ~((m[:, :, -1] != 0) & (below >= at[:, None])).any(1)
+    x = np.where(pivot_of >= 0, np.take_along_axis(m[:, :, -1], np.maximum(pivot_of, 0), 1), np.uint64(0))
+    return x, ok
+
+
+def _values(polys: np.ndarray, powers: np.ndarray) -> np.ndarray:
+    """Polynomials (polynomials, coefficients), lowest power first, at the points of ``powers``."""
+    y = np.zeros((len(polys), len(powers)), np.uint64)
+    for k in range(polys.shape[1]):
+        y = y + mul(polys[:, k, None], powers[None, :, k])
+        y = np.where(y >= np.uint64(P), y - np.uint64(P), y)
     return y
 
 
-def _divmod(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
-    a, inv, q = a[:], pow(b[-1], -1, P), [0] * max(0, len(a) - len(b) + 1)
-    for k in range(len(a) - len(b), -1, -1):
-        c = a[k + len(b) - 1] * inv % P
-        q[k] = c
-        if c:
-            for i, y in enumerate(b):
-                a[k + i] = (a[k + i] - c * y) % P
-    return q, _trim(a[: len(b) - 1])
-
+#: Points that a solution must hold at besides those that it was made from, and the first degree bound.
+CHECKS, FIRST_BOUND = 2, 4
 
-def _mul_sub(a: list[int], q: list[int], b: list[int]) -> list[int]:
-    out = a + [0] * max(0, len(q) + len(b) - 1 - len(a))
-    for i, x in enumerate(q):
-        if x:
-            for j, y in enumerate(b):
-                out[i + j] = (out[i + j] - x * y) % P
-    return _trim(out)
-
-
-_inverses: dict[int, int] = {}
-
-
-def _inverse(x: int) -> int:
-    """Inverse of a difference of two evaluation points, of which there are few."""
-    y = _inverses.get(x)
-    if y is None:
-        y = _inverses[x] = pow(x, -1, P)
-    return y
 
+def differences(ea: np.ndarray, eb: np.ndarray, na: np.ndarray, nb: np.ndarray, zs: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For many pairs of sets at once, from their evaluations (pairs, points) and sizes: polynomials that vanish at the
+    elements of only A and of only B, highest power first with leading zeros, and which pairs are solved.
 
-def rational(zs: list[int], fs: list[int], top: int) -> tuple[list[int], list[int]]:
-    """Monic A, B of least degree with A(z) = f * B(z) at all points and deg A <= top: Newton form, then Euclid."""
-    n, c = len(zs), fs[:]
-    for k in range(1, n):
-        for i in range(n - 1, k - 1, -1):
-            c[i] = (c[i] - c[i - 1]) * _inverse(zs[i] - zs[i - k]) % P
-    f: list[int] = []
-    m = [1]
-    for z, x in zip(zs, c):
-        f = [(u + x * w) % P for u, w in zip(f + [0] * (len(m) - len(f)), m)]
-        m = [(u - z * w) % P for u, w in zip([0, *m], [*m, 0])]
-    r0, r1, t0, t1 = m, _trim(f), [], [1]
-    while r1 and len(r1) - 1 > top:
-        q, r = _divmod(r0, r1)
-        r0, r1, t0, t1 = r1, r, t1, _mul_sub(t0, q, t1)
-    if not r1 or not t1:
-        return [], []
-    ia, ib = pow(r1[-1], -1, P), pow(t1[-1], -1, P)
-    return [x * ia % P for x in r1], [x * ib % P for x in t1]
-
-
-def difference(ea: list[int], eb: list[int], na: int, nb: int, zs: list[int], checks: int = 2) -> tuple[list[int], list[int]] | None:
-    """The polynomials whose roots are the elements of only A and of only B, from both sets' evaluations at ``zs``.
-
-    The degree bound doubles until a solution also holds at ``checks`` points it wasn't made from; None if the
-    evaluations at hand don't suffice.
+    With A and B these polynomials, the ratio of the sets' polynomials is A / B, so eb * A(z) = ea * B(z) at every point: linear
+    equations in the coefficients, with leading ones. The bound of their degrees together doubles until the solution holds at
+    CHECKS more points; pairs for which the points at hand don't suffice stay unsolved. If fewer elements differ than the
+    bound allows, A and B have a factor in common, which has no root at an element but by a chance of one in 2**55.
     """
-    if na == nb and ea == eb:
-        return [1], [1]
-    delta, most = na - nb, len(zs) - checks - 1
-    if abs(delta) > most or 0 in ea or 0 in eb:
-        return None
-    fs = [a * pow(b, -1, P) % P for a, b in zip(ea, eb)]
-    bound = max(4, abs(delta))
+    n, most = len(ea), len(zs) - CHECKS
+    z = np.array(zs, np.uint64)
+    powers = _powers(z, most + 2)
+    delta = na - nb
+    pa, pb = np.zeros((n, most + 1), np.uint64), np.zeros((n, most + 1), np.uint64)
+    solved = np.zeros(n, bool)
+    bound = FIRST_BOUND
     while True:
-        bound = min(bound, most)
-        k = bound + 1
-        a, b = rational(zs[:k], fs[:k], (bound + delta) // 2)
-        if a and len(a) - len(b) == delta and all(value(a, z) == f * value(b, z) % P for z, f in zip(zs[k : k + checks], fs[k : k + checks])):
-            return a, b
-        if bound == most:
-            return None
+        k = min(bound, most)
+        # degrees that fit the bound and differ as the sizes do; one more unknown than the bound where it is odd
+        la = (k + delta) // 2
+        lb = la - delta
+        i = np.flatnonzero(~solved & (la >= 0) & (lb >= 0))
+        if len(i):
+            a, b = la[i], lb[i]
+            col = np.arange(k)[None, :]
+            own, other = col < a[:, None], (col >= a[:, None]) & (col < (a + b)[:, None])
+            power = np.where(own, col, np.where(other, col - a[:, None], 0))
+            w = powers[:k].T[power]  # (pairs, unknowns, points): z ** power
+            left, right = eb[i, None, :k], sub(np.uint64(0), ea[i, None, :k])
+            m = np.where(own[:, :, None], mul(left, w), np.where(other[:, :, None], mul(right, w), np.uint64(0)))
+            at = lambda e, d: mul(e[i, :k], powers[:k].T[d])
+            rhs = sub(at(ea, b), at(eb, a))
+            x, ok = solve(np.concatenate([m.transpose(0, 2, 1), rhs[:, :, None]], 2))
+            fa, fb = np.zeros((len(i), most + 1), np.uint64), np.zeros((len(i), most + 1), np.uint64)
+            row = np.arange(len(i))
+            fa[:, :k] = np.where(own, x, np.uint64(0))
+            fa[row, a] = 1
+            r, c = np.nonzero(other)
+            fb[r, c - a[r]] = x[r, c]
+            fb[row, b] = 1
+            more = slice(k, k + CHECKS)
+            ok &= (mul(eb[i, more], _values(fa, powers[more])) == mul(ea[i, more], _values(fb, powers[more]))).all(1)
+            done = i[ok]
+            pa[done], pb[done], solved[done] = fa[ok, ::-1], fb[ok, ::-1], True
+        if k == most:
+            return pa, pb, solved
         bound *= 2
 
 

@@ -157,26 +157,32 @@ def test_field_products_and_roots():
             assert got == want
 
 
-@pytest.mark.parametrize("only_a, only_b", list(itertools.product([0, 1, 2, 7], [0, 1, 5])))
-def test_reconciliation_finds_the_difference(only_a, only_b):
+def test_inverses_and_systems():
     import numpy as np
 
-    r = random.Random(only_a * 10 + only_b)
-    both, x, y = ([r.randrange(gf.P) for _ in range(n)] for n in (40, only_a, only_b))
-    zs = gf.points(20)
-    ev = [gf.products(np.array(s, np.uint64), np.array([0]), np.array(zs, np.uint64))[0].tolist() for s in (both + x, both + y)]
-    p, q = gf.difference(ev[0], ev[1], 40 + only_a, 40 + only_b, zs)
-    assert len(p) == only_a + 1 and len(q) == only_b + 1
-    assert all(gf.value(p, h) == 0 for h in x) and all(gf.value(q, h) == 0 for h in y) and all(gf.value(p, h) and gf.value(q, h) for h in both)
+    r = random.Random(5)
+    x = np.array([0, 1, 2, gf.P - 1, *(r.randrange(gf.P) for _ in range(20))], np.uint64)
+    assert gf.mul(x, gf.inverses(x)).tolist() == [0] + [1] * 23
+    m = np.array([[[2, 1, 5], [4, 2, 10]], [[2, 1, 5], [4, 2, 11]], [[0, 3, 9], [7, 0, 21]]], np.uint64)
+    got, ok = gf.solve(m)
+    assert ok.tolist() == [True, False, True] and got[2].tolist() == [3, 3] and got[0].tolist() == [5 * pow(2, -1, gf.P) % gf.P, 0]
 
 
-def test_too_many_differences_are_not_guessed():
+def test_reconciliation_finds_the_differences_of_many_pairs():
     import numpy as np
 
-    r = random.Random(3)
-    zs = gf.points(20)
-    ev = [gf.products(np.array([r.randrange(gf.P) for _ in range(60)], np.uint64), np.array([0]), np.array(zs, np.uint64))[0].tolist() for _ in range(2)]
-    assert gf.difference(ev[0], ev[1], 60, 60, zs) is None
+    r, zs, pairs = random.Random(10), gf.points(20), []
+    for only_a, only_b in itertools.product([0, 1, 2, 7, 11], [0, 1, 5, 7, 30]):
+        pairs.append([[r.randrange(gf.P) for _ in range(n)] for n in (40, only_a, only_b)])
+    evals = lambda s: gf.products(np.array(s, np.uint64), np.array([0]), np.array(zs, np.uint64))[0]
+    ea, eb = np.stack([evals(c + x) for c, x, _ in pairs]), np.stack([evals(c + y) for c, _, y in pairs])
+    size = [np.array([40 + len(p[i]) for p in pairs]) for i in (1, 2)]
+    pa, pb, ok = gf.differences(ea, eb, *size, zs)
+    for (common, x, y), p, q, solved in zip(pairs, pa, pb, ok):
+        assert solved == (len(x) + len(y) <= 18)  # too many differences are not guessed
+        if solved:
+            hit = lambda poly, h: gf.roots(np.tile(poly, (len(h), 1)), np.array(h, np.uint64)).tolist()
+            assert hit(p, x + common) == [True] * len(x) + [False] * 40 and hit(q, y + common) == [True] * len(y) + [False] * 40
 
 
 def plain_differences(a, b):
@@ -269,3 +275,10 @@ def test_buckets_follow_the_larger_copy(spark, monkeypatch):
     got = reconcile.copy_differences(b.limit(0), b)
     assert {(r.destination_id, r.field) for r in got.collect()} == {(i, "missing_in_primary") for i in range(1500)}
     assert max(sizes) <= 60
+
+
+def test_copies_without_a_row_in_common(spark):
+    a = spark.range(700).selectExpr("1 graph_id", "id % 7 source_id", "id destination_id", "id position", "5L updated_at", "0 count", "0 state")
+    b = a.selectExpr("graph_id", "source_id", "destination_id", "position + 1 position", "updated_at", "count", "1 state")
+    got = reconcile.copy_differences(a, b)
+    assert {(r.destination_id, r.field) for r in got.collect()} == {(i, f) for i in range(700) for f in ("position", "state")}
