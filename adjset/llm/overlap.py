@@ -1,8 +1,8 @@
 """Overlap sizes between many large sets.
 
-Method: identifiers are range-partitioned and each task reads the sorted runs of all sets, merged by identifier by the
-shuffle's sort; at each identifier the counters of all co-present pairs go up by one. Only counters leave a task, and
-sums of counters are the exact overlaps: no intersection is made, and no pair is written per identifier.
+Method: identifiers are range-partitioned. Each task holds, of its range, a sorted run per set, and merges all runs with a
+heap; at each identifier the counters of all co-present pairs go up by one, some identifiers at a time. Only counters
+leave a task, and sums of counters are the exact overlaps: no intersection is made, and no pair is written per identifier.
 
 An identifier in very many sets would have one task count all its pairs. Its sets are dealt to blocks, and each pair of
 blocks is a group of its own, so a group has at most some BLOCK**2 pairs and every pair is still counted once.
@@ -10,6 +10,7 @@ blocks is a group of its own, so a group has at most some BLOCK**2 pairs and eve
 
 from __future__ import annotations
 
+import heapq
 import itertools
 import sys
 
@@ -31,63 +32,116 @@ STEP, HELD = 1 << 20, 1 << 22
 _NAMES = ["graph_id", "set_a", "set_b", "size_a", "size_b"]
 
 
-def _counter(share: float):
-    """Rows sorted by group -> counters of pairs. share: pairs whose sizes rule out that Jaccard similarity are left out."""
+def merged_runs(starts: list[int], ends: list[int], ids: list[int]):
+    """Sorted runs, given as places in ``ids``, merged with a heap: the numbers of the runs that hold an identifier together,
+    for every identifier that two or more hold."""
+    at = list(starts)
+    heap = [(ids[i], r) for r, i in enumerate(starts)]
+    heapq.heapify(heap)
+    while heap:
+        x, r = heap[0]
+        present = []
+        while True:
+            present.append(r)
+            at[r] = i = at[r] + 1
+            if i < ends[r]:
+                heapq.heapreplace(heap, (ids[i], r))
+            else:
+                heapq.heappop(heap)
+                if not heap:
+                    break
+            y, r = heap[0]
+            if y != x:
+                break
+        if len(present) > 1:
+            yield present
+
 
-    def pairs(g, grp, blk, split, s, size):
-        """Chunks of pairs of rows with equal group numbers."""
-        n = len(s)
-        ends = np.searchsorted(grp, grp, "right")
-        k = ends - np.arange(n) - 1
+def _counter(share: float):
+    """Rows sorted by graph, pair of blocks, set and identifier -> counters of pairs. share: pairs whose sizes rule out that
+    Jaccard similarity are left out."""
+
+    def pairs(members, lens, blk, s, size, split):
+        """Pairs of the sets present together at some identifiers, in chunks: numbers of runs. Those of an identifier stand in
+        order of their sets, so the first of a pair is the lesser."""
+        n = len(members)
+        k = np.repeat(np.cumsum(lens), lens) - np.arange(n) - 1
         total = np.cumsum(k)
         i = 0
         while i < n:
             j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + STEP, "right")))
             c = k[i:j]
             left = np.repeat(np.arange(i, j), c)
-            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(c) - c, c)
-            ok = np.minimum(size[left], size[right]) >= share * np.maximum(size[left], size[right])
-            ok &= ~split[left] | (blk[left] != blk[right])
-            left, right = left[ok], right[ok]
-            swap = s[left] > s[right]
-            a, b = np.where(swap, right, left), np.where(swap, left, right)
-            yield pa.table({"graph_id": g[a], "set_a": s[a], "set_b": s[b], "size_a": size[a], "size_b": size[b], "shared": np.ones(len(a), np.int64)})
+            a, b = members[left], members[left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(c) - c, c)]
+            ok = np.minimum(size[a], size[b]) >= share * np.maximum(size[a], size[b])
+            if split:
+                ok &= blk[a] != blk[b]
+            yield a[ok], b[ok]
             i = j
 
-    def summed(parts):
-        t = pa.concat_tables(parts).group_by(_NAMES, use_threads=False).aggregate([("shared", "sum")])
-        return t.select([*_NAMES, "shared_sum"]).rename_columns([*_NAMES, "shared"])
+    def counted(t: pa.Table):
+        """Counters of one graph and pair of blocks."""
+        g, lo, hi, blk, s, size, d = (c.to_numpy() for c in t.combine_chunks().columns)
+        starts = np.append(0, np.flatnonzero(s[1:] != s[:-1]) + 1)
+        ends = np.append(starts[1:], len(s))
+        blk, s, size, split = blk[starts], s[starts], size[starts], bool(lo[0] != hi[0])
+        ranks = d.tolist()
+        members, lens, due = [], [], 0
+        sums: list[pa.Table] = []
+        held = 0
+
+        def flush():
+            for a, b in pairs(np.array(members, np.int64), np.array(lens, np.int64), blk, s, size, split):
+                code, n = np.unique(a * len(s) + b, return_counts=True)
+                yield pa.table({"a": code // len(s), "b": code % len(s), "shared": n})
+
+        def summed(parts):
+            t = pa.concat_tables(parts).group_by(["a", "b"], use_threads=False).aggregate([("shared", "sum")])
+            return t.rename_columns(["a", "b", "shared"])
+
+        def batch(t):
+            a, b = t.column("a").to_numpy(), t.column("b").to_numpy()
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), g[0], g.dtype)), pa.array(s[a]), pa.array(s[b]), pa.array(size[a]), pa.array(size[b]), t.column("shared").combine_chunks().cast(pa.int64())], names=[*_NAMES, "shared"])
+
+        for present in merged_runs(starts.tolist(), ends.tolist(), ranks):
+            members += present
+            lens.append(len(present))
+            due += len(present) * (len(present) - 1) // 2
+            if due > STEP:
+                new = list(flush())
+                sums += new
+                held += sum(x.num_rows for x in new)
+                members, lens, due = [], [], 0
+                if held > HELD:
+                    sums = [summed(sums)]
+                    held = sums[0].num_rows
+                    if held > HELD // 2:
+                        yield batch(sums[0])
+                        sums, held = [], 0
+        sums += flush()
+        if sums:
+            yield batch(summed(sums))
 
     def run(batches):
-        parts, held, rest = [], 0, None
-        done = object()
-        for b in itertools.chain(batches, [done]):
-            if b is done:
-                t, rest = rest, None
-            else:
-                t = pa.Table.from_batches([b])
-                t = pa.concat_tables([rest, t]).combine_chunks() if rest is not None else t
-            if t is None or not t.num_rows:
+        rest = None
+        for b in itertools.chain(batches, [None]):
+            if b is not None and not b.num_rows:
                 continue
-            cols = [c.to_numpy() for c in t.columns]
-            g, d, lo, hi, blk, s, size = cols
-            new = np.ones(len(g), bool)
-            new[1:] = (g[1:] != g[:-1]) | (d[1:] != d[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
-            if b is not done:  # the last group may go on in the next batch
-                cut = int(np.flatnonzero(new)[-1])
-                rest = t.slice(cut)
-                g, lo, hi, blk, s, size, new = (x[:cut] for x in (g, lo, hi, blk, s, size, new))
-            for p in pairs(g, np.cumsum(new), blk, lo != hi, s, size):
-                parts.append(p)
-                held += p.num_rows
-                if held > HELD:
-                    parts = [summed(parts)]
-                    held = parts[0].num_rows
-                    if held > HELD // 2:
-                        yield from parts[0].to_batches()
-                        parts, held = [], 0
-        if parts:
-            yield from summed(parts).to_batches()
+            t = rest if b is None else pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+            rest = None
+            if t is None:
+                continue
+            if b is not None and all(t.column(c)[0] == b.column(c)[b.num_rows - 1] for c in ("graph_id", "lo", "hi")):
+                rest = t  # one merge so far
+                continue
+            g, lo, hi = (t.column(c).to_numpy() for c in ("graph_id", "lo", "hi"))
+            edges = (np.flatnonzero((g[1:] != g[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1).tolist()
+            bounds = [0, *edges, t.num_rows]
+            for i, j in zip(bounds, bounds[1:]):
+                if j == t.num_rows and b is not None:
+                    rest = t.slice(i)
+                else:
+                    yield from counted(t.slice(i, j - i))
 
     return run
 
@@ -104,13 +158,16 @@ def overlap_sizes(members: DataFrame, set_column: str = "source_id", id_column:
     sizes = m.groupBy("graph_id", "s").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= least)
     heavy = sizes.orderBy(F.desc("size"), "graph_id", "s").limit(HEAVY)
     m = salted_join(m, sizes, ["graph_id", "s"], [F.col("d")], heavy, salts)
-    popular = m.groupBy("graph_id", "d").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > block)
-    m = m.join(popular, ["graph_id", "d"], "left")
+    popular = written(m.groupBy("graph_id", "d").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > block))
+    hot = popular.orderBy(F.desc("k"), "graph_id", "d").limit(HEAVY)
+    m = salted_join(m, popular, ["graph_id", "d"], [F.col("s")], hot, salts, "left")
     blocks = F.coalesce(F.ceil(F.col("k") / block), F.lit(1)).cast("int")
     m = m.withColumn("n", blocks).withColumn("blk", F.pmod(F.xxhash64("s"), F.col("n")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    m = m.select("graph_id", "d", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "blk", "s", "size")
-    group = ["graph_id", "d", "lo", "hi"]
-    counted = m.repartitionByRange(*group).sortWithinPartitions(*group).mapInArrow(_counter(share), f"graph_id {dict(m.dtypes)['graph_id']}, set_a {dict(m.dtypes)['s']}, set_b {dict(m.dtypes)['s']}, size_a long, size_b long, shared long")
+    m = m.select("graph_id", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "blk", "s", "size", "d")
+    # a range of identifiers per task, and in it the sets' runs one after another
+    ranged = m.repartitionByRange("graph_id", "d", "lo", "hi").sortWithinPartitions("graph_id", "lo", "hi", "s", "d")
+    kind = dict(m.dtypes)
+    counted = ranged.mapInArrow(_counter(share), f"graph_id {kind['graph_id']}, set_a {kind['s']}, set_b {kind['s']}, size_a long, size_b long, shared long")
     out = counted.groupBy(*_NAMES).agg(F.sum("shared").alias("shared"))
     return out.filter(F.col("shared") >= share * (F.col("size_a") + F.col("size_b") - F.col("shared"))) if share else out

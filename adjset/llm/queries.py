@@ -32,8 +32,7 @@ def p1_overlaps(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    order = [F.col("position").desc_nulls_last(), F.col("destination_id").desc()]
-    return topn.top_n(_normal_edges(spark, sf, ["position"]), list(NODE), order, BEST, ["destination_id"]).select(*EDGE)
+    return topn.top_n(_normal_edges(spark, sf, ["position"]), list(NODE), ["-position", "-destination_id"], BEST).select(*EDGE)
 
 
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:

@@ -56,7 +56,7 @@ def test_top_n_equals_sorting(spark, n):
     r = random.Random(7)
     data = [(r.choice([1, 1, 1, 2, None]), r.choice([None, 1, 2, 3]), i) for i in range(3000)]
     df = spark.createDataFrame(data, "g int, score int, item long")
-    got = Counter(topn.top_n(df, ["g"], [F.col("score").desc_nulls_last(), F.col("item").desc()], n, ["item"]).collect())
+    got = Counter(topn.top_n(df, ["g"], ["-score", "-item"], n).collect())
     want = Counter()
     for g in (1, 2, None):
         own = sorted((x for x in data if x[0] == g), key=lambda x: (x[1] is None, -(x[1] or 0), -x[2]))
@@ -65,9 +65,48 @@ def test_top_n_equals_sorting(spark, n):
 
 
 def test_top_n_ranks_and_empty(spark):
-    df = spark.createDataFrame([(1, 5), (1, 7)], "g int, rank_ int")
-    assert rows(topn.top_n(df, ["g"], [F.desc("rank_")], 1, ["rank_"], "k")) == [(1, 7, 1)]
-    assert topn.top_n(df.limit(0), ["g"], [F.desc("rank_")], 1, ["rank_"]).count() == 0
+    df = spark.createDataFrame([(1, 5), (1, 7)], "g int, bucket int")
+    assert rows(topn.top_n(df, ["g"], ["-bucket"], 1, "k")) == [(1, 7, 1)]
+    assert topn.top_n(df.limit(0), ["g"], ["-bucket"], 1).count() == 0
+
+
+def test_top_n_of_other_types_and_of_many_runs(spark):
+    r = random.Random(8)
+    data = [(r.choice(["x", "yy", None]), r.choice([None, float("nan"), -0.5, 0.0, 2.5, float("-inf")]), r.choice(["b", "ab", "\u00fc", None]), i) for i in range(400)]
+    df = spark.createDataFrame(data, "g string, score double, name string, item long").repartition(9)
+    nan = lambda x: x != x
+    for order, key in ((["score", "-name", "item"], lambda x: (x[1] is None, nan(x[1]), x[1] if x[1] is not None and not nan(x[1]) else 0, x[2] is None, [-c for c in (x[2] or "").encode()] + [1], x[3])),
+                       (["-score", "name", "item"], lambda x: (x[1] is None, not nan(x[1]), -x[1] if x[1] is not None and not nan(x[1]) else 0, x[2] is None, (x[2] or "").encode(), x[3]))):
+        want = [x[3] for g in ("x", "yy", None) for x in sorted((x for x in data if x[0] == g), key=key)[:7]]
+        assert sorted(x.item for x in topn.top_n(df, ["g"], order, 7, fan_in=2).collect()) == sorted(want)
+    with pytest.raises(TypeError):
+        topn.top_n(df.selectExpr("g", "array(item) a"), ["g"], ["a"], 1)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 9)), max_size=9), min_size=1, max_size=7), st.integers(1, 4))
+def test_loser_tree_equals_sorting(runs, n):
+    import numpy as np
+
+    runs = [sorted(x) for x in runs]
+    keys, bounds = [k for x in runs for k in x], []
+    for x in runs:
+        bounds.append(((bounds[-1][1] if bounds else 0), (bounds[-1][1] if bounds else 0) + len(x)))
+    after = np.array([next((j for j in range(i, e) if keys[j][0] != keys[i][0]), e) for s, e in bounds for i in range(s, e)], np.int64)
+    got = [keys[i] for i, _ in topn.merged(bounds, keys, after, n)]
+    want = []
+    for g in range(4):
+        want += sorted(k for k in keys if k[0] == g)[:n]
+    assert got == want
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 12)), max_size=6))
+def test_heap_merge_equals_counting(sets):
+    runs = [sorted(x) for x in sets if x]
+    ends = list(itertools.accumulate(map(len, runs)))
+    got = list(overlap.merged_runs([e - len(x) for x, e in zip(runs, ends)], ends, [i for x in runs for i in x]))
+    assert got == [p for i in range(13) if len(p := [k for k, x in enumerate(runs) if i in x]) > 1]
 
 
 # --- problem 7
