@@ -48,6 +48,11 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mix.mix_shares(mix.mix_sources(table(spark, sf, "documents"), targets), targets)
 
 
+def p8_attained(spark: SparkSession, sf: str) -> DataFrame:
+    targets = table(spark, sf, "mix_targets")
+    return mix.mix_attained(mix.mix_sources(table(spark, sf, "documents"), targets), targets)
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return residue.residue_documents(table(spark, sf, "documents"))
 
@@ -56,7 +61,7 @@ def p9_passages(spark: SparkSession, sf: str) -> DataFrame:
     return residue.residue_passages(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_overlaps, p3_found, p7_ids, p8_mix, p8_shares, p9_found, p9_passages)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_overlaps, p3_found, p7_ids, p8_mix, p8_shares, p8_attained, p9_found, p9_passages)}
 
 _NORMAL = """WITH cur AS (SELECT graph_id, source_id, destination_id, max({'r': updated_at * 8 + CASE state WHEN 0 THEN 1 WHEN 3 THEN 2 WHEN 2 THEN 3 WHEN 1 THEN 4 ELSE 0 END, 'k': position IS NOT NULL, 'p': coalesce(position, 0)}) AS m
   FROM graph_edges WHERE graph_id IS NOT NULL AND source_id IS NOT NULL AND destination_id IS NOT NULL GROUP BY ALL),
@@ -71,5 +76,7 @@ p AS (SELECT a.graph_id, a.source_id AS source_a, b.source_id AS source_b, a.n A
 SQL = {
     "p1_found": _PAIRS + f"SELECT graph_id, source_a, source_b FROM p WHERE shared >= {SHARED} * (size_a + size_b - shared)",
     "p1_overlaps": _PAIRS + "SELECT * FROM p",
+    "p8_attained": """WITH d AS (SELECT DISTINCT source FROM documents WHERE length(text) > 0), t AS (SELECT mix_id, t.source, CASE WHEN d.source IS NULL THEN 0 ELSE target_share END AS s FROM mix_targets t LEFT JOIN d ON d.source = t.source)
+SELECT mix_id, source, round(s / sum(s) OVER (PARTITION BY mix_id), 6) AS attainable, true AS near, true AS within_cap FROM t""",
     "p3_found": _NORMAL + f"SELECT graph_id, source_id, destination_id FROM (SELECT *, row_number() OVER (PARTITION BY graph_id, source_id ORDER BY position DESC NULLS LAST, destination_id DESC) AS k FROM e) WHERE k <= {BEST}",
 }

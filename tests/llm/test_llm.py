@@ -164,7 +164,7 @@ def test_mix_meets_shares_and_caps(spark):
     r = random.Random(3)
     docs = spark.createDataFrame([(i, " ".join(r.choice(["tea", "sea", "house"]) for _ in range(r.randint(1, 60))), None, "abc"[min(2, i % 5)]) for i in range(900)] + [(1000, None, None, "a"), (1001, "x", None, None)], DOCS)
     targets = spark.createDataFrame([(1, "a", 0.6, 3), (1, "b", 0.3, 2), (1, "c", 0.1, None), (1, "none", 0.2, 3), (2, "c", 1.0, 2), (3, "none", 1.0, 1), (4, "a", None, 1)], "mix_id int, source string, target_share double, max_repeats int")
-    got = mix.mix_sources(docs, targets, shards=5).toPandas()
+    got = mix.mix_sources(docs, targets, shard_tokens=5000).toPandas()
     n = dict((x.doc_id, x.n_tokens) for x in encode.encode_corpus(docs, lengths_only=True).collect())
     assert (got.n_tokens == got.doc_id.map(n)).all()
     assert set(got.mix_id) == {1, 2}
@@ -176,9 +176,9 @@ def test_mix_meets_shares_and_caps(spark):
         assert abs(own.n_tokens.sum() / whole - share) < 0.001 and abs(own.reached_share.iloc[0] - own.n_tokens.sum() / whole) < 1e-9
         assert own.groupby("doc_id").size().max() <= cap
     sizes = one.groupby("shard").size()
-    assert len(sizes) == 5 and sizes.max() - sizes.min() <= 2
+    assert len(sizes) == -(-whole // 5000) > 2 and sizes.max() - sizes.min() <= 2
     assert (one.groupby("shard").place.max() == sizes).all()
-    report = {(x.mix_id, x.source): x for x in mix.mix_shares(mix.mix_sources(docs, targets, shards=5), targets).collect()}
+    report = {(x.mix_id, x.source): x for x in mix.mix_shares(mix.mix_sources(docs, targets), targets).collect()}
     assert report[1, "none"].reached_share == 0.0 and report[2, "c"].reached_share == 1.0 and report[2, "c"].most_repeats == 2
 
 
@@ -192,10 +192,45 @@ def test_split_counts_is_exact():
     import numpy as np
 
     counts = np.array([5, 0, 17, 3])
-    parts = mix.split_counts(counts, 7, np.random.default_rng(1))
+    parts = mix.split_counts(counts, 7, [1, 1])
     assert (parts.sum(0) == counts).all() and parts.min() >= 0 and parts.sum(1).max() - parts.sum(1).min() <= 1
 
 
+def test_split_counts_of_very_many_items():
+    import numpy as np
+
+    counts = np.array([5 * 10**9, 3, 10**9])
+    got = mix.drawn(counts, 2 * 10**9, np.random.default_rng(1))
+    assert got.sum() == 2 * 10**9 and (got <= counts).all() and abs(int(got[0]) - 1_666_666_666) < 10**6
+    whole = np.concatenate([mix.split_counts(c, n, [1, 2], first) for first, n, c in mix._subtrees(np.array([20_000, 9]), 3 * mix.SUBTREE, [1, 2])])
+    assert whole.shape == (3 * mix.SUBTREE, 2) and whole.sum(0).tolist() == [20_000, 9]
+
+
+def test_documents_nearest_to_a_quota():
+    import numpy as np
+
+    assert np.array([1000, 700, 400])[mix.nearest(np.array([1000, 700, 400]), 1100.0)].sum() == 1100
+    assert not mix.nearest(np.array([5, 6]), 0.0).any() and mix.nearest(np.array([5, 6]), 11.2).all()
+    r = random.Random(2)
+    for _ in range(50):
+        t = np.array([r.randint(1, 99) for _ in range(r.randint(1, 9))])
+        goal = r.uniform(0, t.sum())
+        in_, off = mix.nearest(t, goal), None
+        off = abs(t[in_].sum() - goal)
+        for i, j in itertools.product([-1, *np.flatnonzero(in_)], [-1, *np.flatnonzero(~in_)]):
+            other = t[in_].sum() - (t[i] if i >= 0 else 0) + (t[j] if j >= 0 else 0)
+            assert off < 0.5 or abs(other - goal) >= off - 1e-9
+
+
+def test_very_large_sources_are_cut_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mix, "BLOCK_DOCS", 20)
+    docs = spark.createDataFrame([(i, "tea " * (1 + i * 7 % 40), None, "a" if i % 3 else "b") for i in range(400)], DOCS)
+    targets = spark.createDataFrame([(1, "a", 0.5, 1), (1, "b", 0.5, 3)], "mix_id int, source string, target_share double, max_repeats int")
+    got = mix.mix_sources(docs, targets, shard_tokens=2000).toPandas()
+    assert abs(got[got.source == "a"].n_tokens.sum() / got.n_tokens.sum() - 0.5) < 0.001
+    assert not got.duplicated(["doc_id", "copy"]).any() and got.groupby(["source", "doc_id"]).size().max() <= 3
+
+
 # --- problem 9
 
 SPOKEN = ["Where did you put the lamp?", "We found the page in the old ledger.", "Tell him the error was mine.", "No.", "I sold the wrench.", "It costs $20, or 100% of that."]
