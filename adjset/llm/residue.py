@@ -4,7 +4,7 @@ Method: labelled exemplars stand in an inverted index. Passages (cues, parts wit
 neighbouring lines, and bracketed parts) that share a rare enough term with an exemplar are retrieved; by how much of an exemplar's TF-IDF weight lies in the
 passage (containment) and how much of the passage's weight exemplars of one class explain (coverage), a passage is residue
 or not. The index holds the rarest terms of an exemplar, as many as it takes for no passage with enough containment to be
-missed. Speech exemplars compete: a passage that one of them explains is left alone. Document frequencies are counted over
+missed. Speech exemplars compete: a passage that they explain is left alone. Document frequencies are counted over
 all documents, whole texts, those of the marks of placeholders, status codes and request numbers like those of words.
 """
 
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.session import written
+from ..operators.skew import HEAVY, salted_join
 from . import exemplars
 from .encode import class_runs, class_table, pieces, split, texts_of, word_starts
 
@@ -29,6 +30,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Part of a passage's weight that exemplars must explain, and part that a speech exemplar must explain to keep it.
 COVERAGE, SPEECH_COVERAGE = 0.75, 0.8
+#: The same for what stands in brackets, which is nothing but a prompt or something else; and the weight that a part of a
+#: passage must share with one exemplar, since a short everyday clause beside other words may be speech.
+SLOT_COVERAGE, PART = 0.9, 14.0
 #: Weight that a window without a code must share with an exemplar that has one, so that no two everyday words suffice: what
 #: 0.6 of containment takes where a code is in one of 10,000 documents.
 CODELESS = 13.8
@@ -36,6 +40,8 @@ CODELESS = 13.8
 MOST_LINES = 3
 #: Words that a task remembers at most.
 MOST_SEEN = 1 << 20
+#: Part of a speech exemplar that must lie in a window.
+SPEECH_LEAST = 0.75
 #: A term counts so often at most in one passage.
 MOST_TF = 3
 #: Marks of a placeholder, a status code and a request number, as terms of their own.
@@ -67,6 +73,7 @@ _DIGIT = re.compile(r"\d")
 _NUMBER = re.compile(r"(?<![^\W_])\d+(?![^\W_])")
 _LOST = re.compile(r"\w*(?:\ufffd|\?(?=\w))\w*")
 _TAG = re.compile(r"</?[A-Za-z!][^<>\n]*>|\{[\\a-z][^{}A-Z\n]*[\\:][^{}\n]*\}")
+_MACHINE = re.compile(r"(?<![^\s(\"'])(?!https?/)(?:\$\w+|[\w.-]*/[\w./:-]*\w|(?:[a-z0-9]+_)+[a-z0-9]+|\w+\.(?:srt|vtt|html?|php|js|py|java|txt|xml|json|c|cpp|go|rb|x)(?::\d+)?\b)")
 _TERM = re.compile(r"[^\W\d_]+|[\ue000-\ue002]")
 _BRACKET = re.compile(r"[\[(<]([^\[\]()<>\n]{2,})[\])>]")
 #: What in angle brackets is a tag of markup: closing tags, attributes, elements whose names are words of exemplars.
@@ -81,7 +88,10 @@ def fold(s: str) -> str:
 
 
 def terms(s: str) -> list[str]:
-    """Terms of a passage: folded words and marks. Numbers and words with lost characters aren't terms."""
+    """Terms of a passage: folded words and marks. Numbers, words with lost characters and names that only machines give
+    (paths, products with versions, file names, words joined by underscores, variables) aren't terms."""
+    if "/" in s or "_" in s or "." in s or "$" in s:
+        s = _MACHINE.sub(" ", s)
     if "?" in s or "\ufffd" in s:
         s = _LOST.sub(" ", s)
     if _DIGIT.search(s):
@@ -132,17 +142,18 @@ def passages(text: str):
 
 
 def _windows(passage: str):
-    """(kind, text) of the passage and of parts of it. Kinds: whole, part, slot (what stands in brackets)."""
+    """(kind, text) of the passage and of parts of it. Kinds: whole, part (lines), sentence, slot (what stands in brackets)."""
     marked = _SYNTAX.sub(f" {SLOT_MARK} ", passage)
     plain = _TAG.sub("\n", marked)
     yield "whole", plain
-    parts = {p.strip(" -–\t\"'") for line in plain.split("\n") for p in [line, *_SENTENCE.split(line)]}
     lines = [x for x in plain.split("\n") if x.strip()]
-    # a message may be broken over lines, and stand in the passage more than once
-    parts.update("\n".join(lines[i : i + k]) for k in range(2, min(MOST_LINES, len(lines) - 1) + 1) for i in range(len(lines) - k + 1))
-    for p in parts:
+    # a message may be broken over lines
+    parts = {p.strip(" -–\t\"'"): "part" for p in lines + ["\n".join(lines[i : i + k]) for k in range(2, min(MOST_LINES, len(lines) - 1) + 1) for i in range(len(lines) - k + 1)]}
+    for p in (p.strip(" -–\t\"'") for line in lines for p in _SENTENCE.split(line)):
+        parts.setdefault(p, "sentence")
+    for p, kind in parts.items():
         if p and p != plain:
-            yield "part", p
+            yield kind, p
     for m in _BRACKET.finditer(_SYNTAX.sub(" ", passage)):
         if m.group()[0] != "<" or not _MARKUP.match(m.group(1)):
             yield "slot", m.group(1)
@@ -152,57 +163,62 @@ class Index:
     """Exemplars with their weights, and the terms under which each is found."""
 
     def __init__(self, df: dict[str, int], n: int):
+        self.weight: dict[str, float] = {}
         self.idf = lambda t: math.log(1 + n / max(1, df.get(t, 0)))
         self.codeless = min(CODELESS, 1.5 * math.log(1 + n))
-        self.items: list[tuple[str, Counter, float]] = []
+        self.part = min(PART, 1.5 * math.log(1 + n))
+        self.items: list[tuple[str, list[tuple[str, int, float]], float]] = []
+        self.help = {k: frozenset(terms(v)) for k, v in exemplars.HELP.items()}
         self.found: dict[str, list[int]] = {}
-        self.least = {k: v[1] for k, v in exemplars.CLASSES.items()} | {"speech": 0.5}
+        self.least = {k: v[1] for k, v in exemplars.CLASSES.items()} | {"speech": SPEECH_LEAST}
         for name, phrases in [*[(k, v[0]) for k, v in exemplars.CLASSES.items()], ("speech", exemplars.SPEECH)]:
             for w in {tuple(sorted(_exemplar(p).items())) for p in phrases}:
-                w = Counter(dict(w))
-                mass = sum(n * self.idf(t) for t, n in w.items())
+                mass = sum(c * self.idf(t) for t, c in w)
                 k, need = len(self.items), (1 - self.least[name]) * mass
-                self.items.append((name, w, mass))
-                for t in sorted(w, key=self.idf, reverse=True):
+                self.items.append((name, [(t, c, self.idf(t)) for t, c in w], mass))
+                for t, c in sorted(w, key=lambda x: self.idf(x[0]), reverse=True):
                     self.found.setdefault(t, []).append(k)
-                    need -= w[t] * self.idf(t)
+                    need -= c * self.idf(t)
                     if need < 0:
                         break
         self.retrieving = {t for t, ks in self.found.items() if any(self.items[k][0] != "speech" for k in ks)}
 
     def verdict(self, kind: str, w: Counter, other: float) -> str | None:
-        """The class that a window belongs to. other: weight of its terms that no exemplar has."""
+        """The class that a window belongs to. other: weight of its terms that no exemplar has.
+
+        A class explains the terms of all its exemplars that the window contains, and its helping words, however often they
+        stand there. Speech that explains the window keeps it; else a placeholder's mark is one, and of the other classes
+        the first that explains enough counts.
+        """
         mass = sum(n * self.idf(t) for t, n in w.items()) + other
         classes: dict[str, list] = {}
-        speech = 0.0, True
         for k in {k for t in w for k in self.found.get(t, ())}:
             name, e, whole = self.items[k]
-            shared = sum(min(n, e[t]) * self.idf(t) for t, n in w.items() if t in e)
+            shared = sum(min(n, w[t]) * x for t, n, x in e if t in w)
             if shared < self.least[name] * whole:
                 continue
-            if name != "speech" and shared < self.codeless and any(t in e and t not in w for t in (STATUS_MARK, ID_MARK)):
+            if shared < self.codeless and any(t not in w for t, _, _ in e if t in (STATUS_MARK, ID_MARK)):
                 continue
-            if name == "speech":
-                # speech without the mark of the window gives way to residue that explains more
-                speech = max(speech, (shared / mass, all(t in e for t in MARKS if t in w)))
-            else:
-                union, best = classes.setdefault(name, [Counter(), 0.0])
-                classes[name] = [union | e, max(best, shared / whole)]
-        share, marked = speech
-        explained = lambda union: sum(min(n, union[t]) * self.idf(t) for t, n in w.items()) / mass
-        if share >= SPEECH_COVERAGE and (marked or not any(explained(union) > share for union, _ in classes.values())):
+            union, best = classes.setdefault(name, [set(self.help.get(name, ())), 0.0])
+            union.update(t for t, _, _ in e)
+            classes[name][1] = max(best, shared)
+        explained = lambda union: sum(n * self.idf(t) for t, n in w.items() if t in union) / mass
+        if "speech" in classes and explained(classes["speech"][0] | {SLOT_MARK}) >= SPEECH_COVERAGE:
             return "speech"
-        if kind != "slot" and SLOT_MARK in w:
-            return "placeholder"
-        for name, (union, _) in classes.items():
-            if (name == "slot") == (kind == "slot") and explained(union) >= COVERAGE:
+        if kind == "slot":
+            return "slot" if "slot" in classes and explained(classes["slot"][0]) >= SLOT_COVERAGE else None
+        for name, (union, best) in classes.items():
+            # a placeholder is a case whatever it stands in; the rest must be nearly all of the window, and messages whole lines
+            if name == "placeholder":
+                return name
+            if name not in ("speech", "slot") and explained(union) >= COVERAGE and (kind == "whole" or best >= self.part and (kind == "part" or name in ("filler", "latin"))):
                 return name
         return None
 
 
 def vocabulary() -> list[str]:
     """All terms of all exemplars, some hundreds."""
-    return sorted({t for p in [*exemplars.SPEECH, *[p for v in exemplars.CLASSES.values() for p in v[0]]] for t in _exemplar(p)})
+    return sorted({t for p in [*exemplars.SPEECH, *[p for v in exemplars.CLASSES.values() for p in v[0]]] for t in _exemplar(p)} | {t for v in exemplars.HELP.values() for t in terms(v)})
 
 
 def _words(texts: pa.Array, table: np.ndarray):
@@ -332,7 +348,7 @@ def _retrieve(index_of, known: frozenset, runs):
                         continue
                     bare = False  # the whole has no such term, and then no part of it has; slots are cut from the passage with its tags
                     for kind, window in _windows(passage):
-                        if bare and kind == "part":
+                        if bare and kind in ("part", "sentence"):
                             continue
                         ts = terms(window)
                         if retrieving.isdisjoint(ts):
@@ -385,7 +401,10 @@ def residue_passages(docs: DataFrame, id_column: str = "doc_id", text_column: st
     found = d.mapInArrow(_retrieve(index_of, frozenset(vocab), class_runs()), f"id {kind}, passage long, kind string, terms array<string>, n array<long>, others array<string>, m array<long>")
     found = found.withColumn("w", F.monotonically_increasing_id())
     others = found.select("id", "passage", "kind", "terms", "n", "w", F.explode_outer(F.arrays_zip("others", "m")).alias("o"))
-    others = others.select("id", "passage", "kind", "terms", "n", "w", F.col("o.others").alias("term"), F.col("o.m").alias("m")).join(counts, "term", "left")
+    others = others.select("id", "passage", "kind", "terms", "n", "w", F.col("o.others").alias("term"), F.col("o.m").alias("m"))
+    # words in very many windows are words of very many documents: these, a bounded list, are salted
+    common = counts.orderBy(F.desc("df"), "term").limit(HEAVY)
+    others = salted_join(others, counts, ["term"], [F.col("w")], common, how="left")
     weight = F.col("m") * F.log1p(F.lit(n) / F.greatest(F.coalesce("df", F.lit(0)), F.lit(1)))
     windows = others.groupBy("id", "passage", "kind", "terms", "n", "w").agg(F.coalesce(F.sum(weight), F.lit(0.0)).alias("other")).drop("w")
     judged = windows.mapInArrow(_judge(index_of), f"id {kind}, passage long, kind string, label string").filter("label IS NOT NULL")
