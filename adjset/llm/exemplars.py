@@ -29,7 +29,7 @@ SLOT = [
     # the same in other languages: a verb, a thing and a place
     *_each("insertar|inserta|inserte|introducir|introduzca|escribe|escriba|añadir", "texto|nombre|título|diálogo|subtítulo|traducción", "aquí|"),
     *_each("inserir|insira|escreva|digite", "texto|nome|título|diálogo|legenda|tradução", "aqui|"), *_each("inserire|inserisci|scrivi", "testo|nome|titolo|dialogo|sottotitolo|traduzione", "qui|"),
-    *_each("insérer|insérez|saisir|saisissez|entrez", "le texte|texte|le nom|nom|le titre|titre|dialogue|traduction", "ici|"), *_each("hier", "text|name|titel|dialog|untertitel|übersetzung", "einfügen|eingeben|eintragen"),
+    *_each("insérer|insérez|saisir|saisissez|entrez", "le texte|texte|le nom|nom|le titre|titre|dialogue|traduction", "ici|"), *_each("texte|nom|titre|dialogue", "à", "insérer|compléter|définir"), *_each("hier", "text|name|titel|dialog|untertitel|übersetzung", "einfügen|eingeben|eintragen"),
     *_each("tekst|naam|titel|dialoog|ondertitel|vertaling", "hier", "invoegen|invullen|invoeren"), *_each("вставьте|вставить|введите|ввести", "текст|имя|название|реплику|перевод", "здесь|сюда|"),
     *_each("nombre", "del|de", "personaje|hablante"), *_each("nome", "do|da|del", "personagem|personaggio"), *_each("nom", "du|de", "personnage|locuteur"), *_each("name", "der|des", "figur|sprechers"), *_each("naam", "van|", "personage|spreker"), *_each("имя", "персонажа|героя|говорящего"),
     *["".join(x) for x in product(["ここに", ""], ["テキスト", "名前", "字幕", "セリフ", "タイトル", "登場人物名", "キャラクター名", "話者名", "翻訳"], ["を入力", "を挿入", "を記入"])], "登場人物名", "キャラクター名", "話者名",
@@ -106,9 +106,9 @@ NOTICE = [
 
 _PLAIN = "the this that a an in on of to for at by is are was has been be and or not it its with no"
 HELP = {
-    "error": _PLAIN + " please sorry we oops whoops error errors warning fatal panic code status message request requested http https html title ref reference réf rif nr núm código код номер number id pid line file page our your try again later in seconds minutes soon back contact support administrator webmaster help reload refresh moved deleted removed gone check spelling address"
+    "error": _PLAIN + " please sorry we cue cues caption captions subtitle subtitles oops whoops error errors warning fatal panic code status message request requested http https html title ref reference réf rif nr núm código код номер number id pid line file page our your try again later in seconds minutes soon back contact support administrator webmaster help reload refresh moved deleted removed gone check spelling address"
     " directory resource render traceback undefined variable host port server cannot could exist exists temporarily available unavailable longer",
-    "notice": _PLAIN + " please kindly you your must need have want continue we noticed that seems looks like so go nothing can cannot could shown show display view see use load loading reading read open run running work works will does page site player viewer reader app file captions caption subtitles subtitle content browser browsers settings extension reload reloaded allow enable them then newer one get another human stays empty"
+    "notice": _PLAIN + " please kindly our you your must need have want continue we noticed that seems looks like so go nothing can cannot could shown show display view see use load loading reading read open run running work works will does page site player viewer reader app file captions caption subtitles subtitle content browser browsers settings extension reload reloaded allow enable them then newer one get another human stays empty"
     " en su tu navegador no seu dans votre navigateur in ihrem nel tuo je в браузере para ver los subtítulos as o las legendas página pour afficher voir les sous titres la page bitte um die untertitel zu sehen anzeigen per vedere i sottotitoli om de ondertitels te zien чтобы увидеть субтитры страницу пожалуйста "
     + " ".join("".join(x) for x in product(["字幕", "このページ", "ページ", "コンテンツ", "動画", "ファイル"], ["を表示するには", "を見るには", "を閲覧するには"])),
     "latin": "sit ut et sed ad ex ea in esse non sunt qui id est quis eu do dolor",
@@ -124,5 +124,8 @@ SPEECH = [
     *_each("the", "placeholder|variable|template|macro", "stands for|becomes|fills it in|replaces it"), *_each("double|curly|square|angle", "braces|brackets"),
 ]
 
+#: Words of somebody who speaks or is spoken of, which messages of machines don't have.
+SPOKEN = "i me my mine myself he him his she her hers said says asked asks told replied cried whispered answered yo mi él ella dijo dice eu meu ele ela disse je mon ma il elle dit ich mein er sie sagte sagt io mio lui lei disse dice detto ik mijn hij zij zei zegt я мне мой он она сказал сказала"
+
 #: class -> its phrases and the least containment of one of them in a window.
 CLASSES = {"placeholder": (["{}"], 0.9), "slot": (SLOT, 0.75), "filler": (FILLER, 0.75), "latin": (LATIN, 0.01), "value": (VALUE, 0.75), "error": (ERROR, 0.8), "notice": (NOTICE, 0.75)}

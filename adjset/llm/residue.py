@@ -30,6 +30,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Part of a passage's weight that exemplars must explain, and part that a speech exemplar must explain to keep it.
 COVERAGE, SPEECH_COVERAGE = 0.75, 0.8
+#: The same where a word of speech stands in the window.
+SPOKEN_COVERAGE = 0.92
 #: The same for what stands in brackets, which is nothing but a prompt or something else; and the weight that a part of a
 #: passage must share with one exemplar, since a short everyday clause beside other words may be speech.
 SLOT_COVERAGE, PART = 0.9, 14.0
@@ -73,7 +75,7 @@ _DIGIT = re.compile(r"\d")
 _NUMBER = re.compile(r"(?<![^\W_])\d+(?![^\W_])")
 _LOST = re.compile(r"\w*(?:\ufffd|\?(?=\w))\w*")
 _TAG = re.compile(r"</?[A-Za-z!][^<>\n]*>|\{[\\a-z][^{}A-Z\n]*[\\:][^{}\n]*\}")
-_MACHINE = re.compile(r"(?<![^\s(\"'])(?!https?/)(?:\$\w+|[\w.-]*/[\w./:-]*\w|(?:[a-z0-9]+_)+[a-z0-9]+|\w+\.(?:srt|vtt|html?|php|js|py|java|txt|xml|json|c|cpp|go|rb|x)(?::\d+)?\b)")
+_MACHINE = re.compile(r"(?<![^\s(\"'])(?![Hh][Tt][Tt][Pp][Ss]?/)(?:\$\w+|[\w.-]*/[\w./:-]*\w|(?:[a-z0-9]+_)+[a-z0-9]+|\w+\.(?:srt|vtt|html?|php|js|py|java|txt|xml|json|c|cpp|go|rb|x)(?::\d+)?\b)")
 _TERM = re.compile(r"[^\W\d_]+|[\ue000-\ue002]")
 _BRACKET = re.compile(r"[\[(<]([^\[\]()<>\n]{2,})[\])>]")
 #: What in angle brackets is a tag of markup: closing tags, attributes, elements whose names are words of exemplars.
@@ -166,6 +168,7 @@ class Index:
         self.weight: dict[str, float] = {}
         self.idf = lambda t: math.log(1 + n / max(1, df.get(t, 0)))
         self.codeless = min(CODELESS, 1.5 * math.log(1 + n))
+        self.spoken = frozenset(terms(exemplars.SPOKEN))
         self.part = min(PART, 1.5 * math.log(1 + n))
         self.items: list[tuple[str, list[tuple[str, int, float]], float]] = []
         self.help = {k: frozenset(terms(v)) for k, v in exemplars.HELP.items()}
@@ -211,14 +214,15 @@ class Index:
             # a placeholder is a case whatever it stands in; the rest must be nearly all of the window, and messages whole lines
             if name == "placeholder":
                 return name
-            if name not in ("speech", "slot") and explained(union) >= COVERAGE and (kind == "whole" or best >= self.part and (kind == "part" or name in ("filler", "latin"))):
+            enough = SPOKEN_COVERAGE if any(t in self.spoken and t not in union for t in w) else COVERAGE
+            if name not in ("speech", "slot") and explained(union) >= enough and (kind == "whole" or best >= self.part and (kind == "part" or name in ("filler", "latin"))):
                 return name
         return None
 
 
 def vocabulary() -> list[str]:
     """All terms of all exemplars, some hundreds."""
-    return sorted({t for p in [*exemplars.SPEECH, *[p for v in exemplars.CLASSES.values() for p in v[0]]] for t in _exemplar(p)} | {t for v in exemplars.HELP.values() for t in terms(v)})
+    return sorted({t for p in [*exemplars.SPEECH, *[p for v in exemplars.CLASSES.values() for p in v[0]]] for t in _exemplar(p)} | {t for v in [*exemplars.HELP.values(), exemplars.SPOKEN] for t in terms(v)})
 
 
 def _words(texts: pa.Array, table: np.ndarray):

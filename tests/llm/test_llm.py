@@ -267,6 +267,33 @@ def _found(spark, cues):
     return [c for i, c in enumerate(cues) if 5000 + i in got]
 
 
+#: Cues written after the exemplars were, and speech that shares words with them.
+UNSEEN = """You need JavaScript to run this app.|Connection reset by peer|Segmentation fault (core dumped)|TODO: write subtitles|[ENTER DIALOGUE]|Unable to connect to the server|Exception in thread "main" java.lang.NullPointerException|Bitte JavaScript aktivieren|Error 503 Backend fetch failed
+You need to enable JavaScript to run this app.|Please turn JavaScript on and reload the page.|[Your Name Here]|The requested URL /index.html was not found on this server.|504 Gateway Time-out nginx/1.14.0|Habilite JavaScript en su navegador|Hello {first_name}, welcome|[Placeholder text]|Lorem ipsum dolor sit amet|This video is no longer available.|Request ID: 8fe2a01c
+An unexpected error occurred. Please try again later.|HTTP ERROR 500|Uncaught TypeError: Cannot read properties of undefined (reading 'text')|This page requires cookies and JavaScript.|Too many connections|[INSERT SONG LYRICS]|Sample caption|Server Error in '/' Application.|Error: ENOENT: no such file or directory, open 'a.srt'|Java heap space: OutOfMemoryError""".replace("\n", "|").split("|")
+ALIKE = """He is gone.|The page of the book was gone.|Your session with the doctor has expired.|Access denied, said the guard.|I need scripts for the play tonight.|Something is wrong with the server, boys.|The server brought us soup.|The bridge is under maintenance.|Bad request, my friend.|He wrote his name here.|[name calling]|(text message sound)
+I'm out of memory and out of time.|Forbidden fruit.|Not found.|None of them came.|The number you dialed is not available.|Your name here?|The train service is temporarily unavailable, she said.|Something went wrong with the lamp. On our side, I fear.""".replace("\n", "|").split("|")
+
+
+def test_residue_of_unseen_wording():
+    """With the frequencies that words have in a corpus of 10,000 documents, the rarest of them in none."""
+    common = {"the": 9900, "you": 9500, "to": 9500, "a": 9500, "i": 9500, "is": 9000, "of": 9000, "and": 9000, "in": 9000, "it": 9000, "that": 9000, "on": 8500, "me": 8000, "my": 8000, "your": 7500, "this": 8000, "be": 8000, "for": 8000, "not": 8000, "with": 7500, "he": 7500, "was": 7500, "no": 7500, "have": 7500, "we": 7500, "our": 5000, "us": 5000,
+              "are": 7500, "his": 5000, "has": 5000, "at": 6000, "here": 6000, "out": 6000, "them": 4000, "time": 4000, "by": 4000, "too": 3000, "many": 1500, "need": 3000, "please": 2000, "said": 2000, "she": 5000, "name": 1500, "side": 900, "wrong": 900, "something": 2500, "gone": 900, "found": 1200, "book": 500, "page": 150, "number": 400, "friend": 900, "none": 300, "file": 60, "boys": 300, "play": 400, "night": 900, "message": 90, "text": 120, "an": 4000, "went": 900}
+    df = {residue.fold(t): c for t, c in common.items()} | {residue.STATUS_MARK: 180, residue.ID_MARK: 50, residue.SLOT_MARK: 160}
+    index, known = residue.Index(df, 10_000), set(residue.vocabulary())
+
+    def found(cue):
+        out = set()
+        for kind, window in residue._windows(cue):
+            w = residue._weights(residue.terms(window))
+            if not index.retrieving.isdisjoint(w):
+                out.add((kind, index.verdict(kind, Counter({t: c for t, c in w.items() if t in known}), sum(c * index.idf(t) for t, c in w.items() if t not in known))))
+        return ("whole", "speech") not in out and any(label not in (None, "speech") for _, label in out)
+
+    assert sum(map(found, UNSEEN)) >= 0.85 * len(UNSEEN)
+    assert not [c for c in ALIKE if found(c)]
+
+
 def test_slots_in_angle_brackets(spark):
     slots = ["<INSERT NAME HERE>", "Narrator: <INSERT NAME HERE>", "- <INSERT SUBTITLE HERE>", "<NAME DER FIGUR>", "<TODO: SPEAKER NAME>", "<i>Wait.</i> <YOUR NAME>"]
     tags = ["<v Mary>Come here.", '<font title="insert name here">Come here.</font>', "<title>Come here.</title>", "<line>Come here."]
