@@ -10,7 +10,7 @@ from simulate import serial
 from adjset import api
 from adjset.functions import lattice as L
 from adjset.functions import packed, position
-from adjset.model import END, OPS, START, Cursor, GraphError
+from adjset.model import EDGES, END, NODES, OPS, START, Cursor, GraphError
 from adjset.operators import algebra, repair
 from adjset.operators.algebra import Term, from_postfix, to_postfix
 from adjset.operators.fold import both_directions, fold_ops, mass_ops, node_table, node_timeline
@@ -174,6 +174,67 @@ def test_batched_pages_with_ties_nulls_and_their_own_cursors(spark):
     assert pages(df.limit(0), ["q"], "k", 2).count() == 0
 
 
+def walk(spark, data, count, cursor, back=False):
+    """All pages one after another, in one direction."""
+    df = spark.createDataFrame([("q", k, d) for k, d in data], "q string, k long, d long")
+    out = []
+    while cursor != END:
+        got = keyset_pages(df, ["q"], "k", count, cursor, "d").collect()
+        if not got:
+            break
+        got.sort(key=lambda r: (r.k is not None, r.k or 0, r.d), reverse=True)
+        out.insert(0, [(r.k, r.d) for r in got]) if back else out.append([(r.k, r.d) for r in got])
+        x = got[0].prev if back else got[0].next
+        cursor = END if x.kind == "end" else Cursor(x.kind, x.key, x.tie)
+    return out
+
+
+@pytest.mark.parametrize("data, count", [([(k, d) for k in (5, 5, 5, 1, 0, -1, None) for d in range(2)], 3), ([(None, d) for d in range(5)] + [(2, 9)], 2), ([(1, 0), (0, 1)], 1)])
+def test_pages_hold_every_row_once_either_way(spark, data, count):
+    data = sorted(set(data), key=lambda x: (x[0] is not None, x[0] or 0, x[1]), reverse=True)
+    forward = walk(spark, data, count, START)
+    assert [x for p in forward for x in p] == data and {len(p) for p in forward[:-1]} <= {count}
+    last = Cursor("backward", *data[-1])
+    assert [x for p in walk(spark, data, count, last, back=True) for x in p] == data[:-1]
+
+
+def test_keys_zero_and_one_are_no_ends(spark):
+    g = graphs(spark, {1: [0, 1, 2, 3, 4], 2: [0, 1, 2, 3, 4]})
+    e = api.select(1, 1) & api.select(2, 1)
+    assert g.select(e, 2, Cursor("backward", 1)).ids == [3, 2]
+    p = g.select(e, 2, Cursor("forward", 3))
+    assert p.ids == [2, 1] and p.next == Cursor("forward", 1, 1) and g.select(e, 2, p.next).ids == [0]
+
+
+def test_positions_that_tie_lose_nothing(spark):
+    g = graphs(spark, {1: [2, 3, 4, 5]}, {(1, d): 7 for d in (2, 3, 4)})
+    assert [i for ids in g.paginate(api.select(1, 1), 2) for i in ids] == [4, 3, 2, 5]
+    first = g.select_edges(api.select(1, 1), 3)
+    assert [r["destination_id"] for r in first[0]] == [4, 3, 2] and [r["destination_id"] for r in g.select_edges(api.select(1, 1), 3, first[1])[0]] == [5]
+
+
+def test_queries_of_all_shapes_are_one_job(spark, sets):
+    x, y, z = api.select(5, 1), api.select(6, 1), api.select(8, 1)
+    queries = [(x & y, 9, START), (x | y, 3, START), ((z - x) | (x & y), 9, START), (x, 2, Cursor("forward", 9)), (api.select(None, 1, 4), 9, START), (api.select(5, 1, [1, 2, 99]), 9, START), (x, 3, END)]
+    tracker, group = spark.sparkContext.statusTracker(), "shapes"
+    spark.sparkContext.setJobGroup(group, "")
+    got = [p.ids for p in sets.select2(queries)]
+    few = len(tracker.getJobIdsForGroup(group))
+    sets.select2(queries * 30)
+    spark.sparkContext.setJobGroup("", "")
+    assert got == [[10, 8, 6, 4, 2], [12, 10, 9], [12, 11, 10, 8, 6, 4, 2], [8, 7], [9, 8, 7, 6, 5, 3, 1], [2, 1], []]
+    assert len(tracker.getJobIdsForGroup(group)) <= 3 * few
+
+
+def test_programs_of_many_leaves(spark):
+    leaves = spark.createDataFrame([(1, i, i % 5, None) for i in range(70)], "query_id int, leaf_no int, destination_id long, position long")
+    e = [0, *[c for i in range(1, 70) for c in (i, -2)]]
+    programs = spark.createDataFrame([(1, e)], "query_id int, program array<int>")
+    assert sorted(r.destination_id for r in algebra.evaluate_programs(leaves, programs, 70).collect()) == [0, 1, 2, 3, 4]
+    programs = spark.createDataFrame([(1, [69, 4, -1, 64, -3])], "query_id int, program array<int>")
+    assert algebra.evaluate_programs(leaves, programs, 70).count() == 0
+
+
 def test_composite_scan(spark, sets):
     rows, after = sets.scan((1, 3), 2, 1)
     assert [(r.source_id, r.destination_id) for r in rows] == [(1, 4), (3, 2)] and after == (3, 2)
@@ -259,10 +320,47 @@ def test_jobs(spark):
     got = [(r.tag, r.op, r.is_forward, r.destination_ids, r.execute_at, r.error) for r in parse_jobs(df).collect()]
     assert got[:4] == [("Single", NEGATE, True, [3], 5, None), ("Multi", ARCHIVE, False, None, 5, None), ("Add", ADD, True, [3], 5, None), ("RemoveAll", REMOVE, True, None, 5, None)]
     assert len(got) == 8 and all(g[5] for g in got[4:])
+    wire = [{"Multi": {"source_id": 1, "updated_at": 5, "graph_id": 2, "direction": 1, "priority": 1, "state": 2, "cursor": 77}}, {"Multi": {"source_id": 1, "updated_at": 5, "graph_id": 2, "direction": 0, "priority": 1, "state": 2}},
+            {"x.Copy": {"shards": [{"hostname": "h", "table_prefix": "t"}], "cursor1": 3, "cursor2": 4, "count": 500}}, {"x.MetadataCopy": {"shards": [{"hostname": "h", "table_prefix": "t"}], "cursor": 3, "count": 500}}]
+    w = parse_jobs(spark.createDataFrame([(json.dumps(x),) for x in wire], "value string")).collect()
+    assert [(r.is_forward, r.cursor) for r in w[:2]] == [(False, 77), (True, None)] and not any(r.error for r in w)
+    assert [(r.copy.cursor1, r.copy.cursor2, r.copy["count"], r.copy.shards[0].hostname) for r in w[2:]] == [(3, 4, 500, "h"), (3, None, 500, "h")]
+    assert {json.loads(r.value)["Multi"]["direction"] for r in to_jobs(ops_df(spark, [(1, 1, 5, False, None, ADD, None, 9)])).collect()} == {1}
     ops = ops_df(spark, [(1, 1, 5, False, [6, 7], REMOVE, 8, 9), (2, 1, 5, True, None, ADD, None, 9)])
     assert sorted((r.tag, r.source_id, r.destination_ids, r.op) for r in parse_jobs(to_jobs(ops)).collect()) == sorted([("Single", 6, [5], REMOVE), ("Single", 7, [5], REMOVE), ("Multi", 5, None, ADD)], key=lambda x: x)
 
 
+# --- stored graphs
+
+
+def test_buckets_are_the_same_for_both_sides(spark):
+    ids = [0, 1, -1, 7, 2**62, -(2**63), 123456789]
+    df = spark.createDataFrame([(i,) for i in ids], "i long").select(bucket_column("i", 13).alias("b"))
+    assert [r.b for r in df.collect()] == [bucket_of(i, 13) for i in ids]
+
+
+def test_a_write_touches_its_partitions_only(spark, tmp_path):
+    store = GraphStore(spark, str(tmp_path / "g"), buckets=4)
+    edges = spark.createDataFrame([(g, s, d, 5, 10, 0, 0) for g in (1, 2) for s in range(12) for d in (100, 101)] + [(1, None, 1, 1, 1, 0, 0)], EDGES)
+    assert store.bulk_insert(edges) == 1
+    before = store.manifest()
+    g = api.Graphs.open(store, [1, 2])
+    assert (g.count(api.select(3, 1)), g.count(api.select(None, 1, 100)), g.get(3, 1, 100).position) == (2, 12, 5)
+    h = g.execute(api.remove(3, 1, 100).at(20), api.add(3, 1, 7).at(20))
+    changed = {k for k, v in store.manifest()["edges"].items() if v != before["edges"].get(k)}
+    assert changed == {f"0/1/{bucket_of(3, 4)}", f"1/1/{bucket_of(100, 4)}", f"1/1/{bucket_of(7, 4)}"}
+    assert (h.count2([api.select(3, 1), api.select(None, 1, 100), api.select(None, 1, 7), api.select(4, 1)])) == [2, 11, 1, 2]
+    assert g.count(api.select(None, 1, 100)) == 12  # the former version can still be read
+    files = h._of_node(1, 0, 3).inputFiles()
+    assert files and all(f"direction=0/graph_id=1/bucket={bucket_of(3, 4)}/" in f for f in files)
+    # copies: newer rows win, older don't; nodes: their state counts edges of that state
+    store.write_copies(spark.createDataFrame([(1, 4, 100, 9, 30, 0, 2), (1, 4, 101, 9, 1, 0, 2)], EDGES))
+    store.write_nodes(spark.createDataFrame([(1, 0, 4, 2, 99, 50)], NODES))
+    n = api.Graphs.open(store, [1]).get_metadata(4, 1)
+    assert (n.state, n["count"], n.updated_at) == (2, 1, 50)
+    assert api.Graphs.open(store, [1]).get(4, 1, 101).updated_at == 10
+
+
 # --- streaming
 
 
@@ -272,17 +370,28 @@ def test_stream_equals_one_batch(spark, tmp_path):
     (tmp_path / "in").mkdir()
     store = GraphStore(spark, str(tmp_path / "edges"), buckets=2)
     keys = ["seq", "graph_id", "source_id", "is_forward", "destination_ids", "op", "position", "execute_at"]
-    for k in range(3):
-        part = [dict(zip(keys, o)) for o in ops[k * 20 : k * 20 + 20]] + [{"seq": 1000 + k, "graph_id": 1, "op": 9}]
+    for k in range(2):
+        part = [dict(zip(keys, o)) for o in ops[k * 30 : k * 30 + 30]] + [{"seq": 1000 + k, "graph_id": 1, "op": 9}]
         (tmp_path / "in" / f"{k}.json").write_text("\n".join(map(json.dumps, part)))
         q = stream_ops(read_ops(spark, str(tmp_path / "in")), store, str(tmp_path / "checkpoint"), str(tmp_path / "dead"))
         q.awaitTermination(120)
     edges, _ = serial(ops)
     got = lambda: {tuple(x[:3]): [x.position, x.updated_at, x.state] for x in store.read().select("graph_id", "source_id", "destination_id", "position", "updated_at", "state").collect()}
     assert got() == edges
-    assert spark.read.json(str(tmp_path / "dead")).count() == 3
-    store.apply(ops_df(spark, ops[40:]))  # the last batch again
-    assert got() == edges
+    assert spark.read.json(str(tmp_path / "dead")).count() == 2
+
+
+def test_queue_by_priority_restart_and_retries(spark, tmp_path):
+    store, queue = GraphStore(spark, str(tmp_path / "g"), buckets=2), str(tmp_path / "queue")
+    ops = ops_df(spark, [(1, 1, 1, True, [2], ADD, 5, 10), (2, 1, 1, True, [3], 9, 5, 10)])
+    enqueue(ops, queue)
+    drain(spark, queue, store, str(tmp_path / "c"), str(tmp_path / "dead"))
+    enqueue(ops_df(spark, [(3, 1, 1, True, [4], ADD, 5, 10)]), queue)
+    drain(spark, queue, store, str(tmp_path / "c2"), str(tmp_path / "dead"))  # a new checkpoint: batch 0 again
+    assert {r.destination_id for r in store.read().collect()} == {2, 4}
+    assert requeue(spark, str(tmp_path / "dead"), str(tmp_path / "again"), limit=2).count() == 0
+    assert spark.read.json(str(tmp_path / "again")).select("seq", "attempts").distinct().collect() == [(2, 1)]
+    assert requeue(spark, str(tmp_path / "dead"), str(tmp_path / "again"), limit=1).count() == 2
 
 
 def mixed_log(r, graphs, length):
@@ -295,17 +404,15 @@ def test_stream_with_mass_operations_equals_one_batch(spark, tmp_path):
     store = GraphStore(spark, str(tmp_path / "edges"), buckets=2)
     (tmp_path / "in").mkdir()
     keys = ["seq", "graph_id", "source_id", "is_forward", "destination_ids", "op", "position", "execute_at"]
-    for k in range(3):
-        (tmp_path / "in" / f"{k}.json").write_text("\n".join(json.dumps(dict(zip(keys, o))) for o in ops if o[0] % 1000 // 5 == k))
+    for k in range(2):
+        (tmp_path / "in" / f"{k}.json").write_text("\n".join(json.dumps(dict(zip(keys, o))) for o in ops if o[0] % 1000 // 8 == k))
         stream_ops(read_ops(spark, str(tmp_path / "in")), store, str(tmp_path / "checkpoint"), str(tmp_path / "dead")).awaitTermination(300)
     edges, nodes = serial(ops)
     got = lambda: {tuple(x[:3]): [x.position, x.updated_at, x.state] for x in store.read().select("graph_id", "source_id", "destination_id", "position", "updated_at", "state").collect()}
     states = lambda: {k: v for k, v in {(x.graph_id, x.direction, x.source_id): (x.updated_at, x.state) for x in store.nodes().collect()}.items() if k in nodes}
     assert got() == edges
     assert states() == nodes
-    store.apply(ops_df(spark, [o for o in ops if o[0] % 1000 >= 10]))  # the last batch again
-    assert got() == edges
-    store.apply(ops_df(spark, [o for o in ops if o[4] is None]))  # mass operations that come again
+    store.apply(ops_df(spark, [o for o in ops if o[0] % 1000 >= 8 or o[4] is None]))  # the last batch and all mass operations again
     assert got() == edges and states() == nodes
 
 
