@@ -267,7 +267,7 @@ def _found(spark, cues):
     return [c for i, c in enumerate(cues) if 5000 + i in got]
 
 
-#: Cues written after the exemplars were, and speech that shares words with them.
+#: Cues of public wording, most of them first tried when the exemplars stood, and speech that shares words with them.
 UNSEEN = """You need JavaScript to run this app.|Connection reset by peer|Segmentation fault (core dumped)|TODO: write subtitles|[ENTER DIALOGUE]|Unable to connect to the server|Exception in thread "main" java.lang.NullPointerException|Bitte JavaScript aktivieren|Error 503 Backend fetch failed
 You need to enable JavaScript to run this app.|Please turn JavaScript on and reload the page.|[Your Name Here]|The requested URL /index.html was not found on this server.|504 Gateway Time-out nginx/1.14.0|Habilite JavaScript en su navegador|Hello {first_name}, welcome|[Placeholder text]|Lorem ipsum dolor sit amet|This video is no longer available.|Request ID: 8fe2a01c
 An unexpected error occurred. Please try again later.|HTTP ERROR 500|Uncaught TypeError: Cannot read properties of undefined (reading 'text')|This page requires cookies and JavaScript.|Too many connections|[INSERT SONG LYRICS]|Sample caption|Server Error in '/' Application.|Error: ENOENT: no such file or directory, open 'a.srt'|Java heap space: OutOfMemoryError""".replace("\n", "|").split("|")
