@@ -47,21 +47,8 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
-    """Like :func:`written`, stored by the hash of ``column`` in as many files as ``buckets``: joins and aggregations by that
-    column read each file in one task, without a shuffle."""
-    spark = df.sparkSession
-    path = new_path(spark)
-    name = "adjset_" + path.rsplit("/", 1)[1]
-    df.repartition(buckets, column).write.bucketBy(buckets, column).sortBy(column).option("path", path).option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
-
-
 def clear(spark: SparkSession) -> None:
     """Removes all intermediate tables made so far: for long sessions, when no result made of them is still to be read."""
-    for t in spark.catalog.listTables():
-        if t.name.startswith("adjset_"):
-            spark.sql(f"DROP TABLE IF EXISTS {t.name}")
     _remove(spark, shared_dir(spark))
 
 
